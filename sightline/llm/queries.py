@@ -17,6 +17,12 @@ def _sha(column) -> F.Column:
     return F.sha2(F.coalesce(column, F.lit("")), 256)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_components
+
+    return embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +62,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_license_scan": op3_license_scan,
     "op4_substring_dedup": op4_substring_dedup,
@@ -63,6 +70,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_join": op7_ngram_join,
 }
 
+OP1_SQL = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (
+  SELECT DISTINCT a AS vec_id, a AS r FROM links
+  UNION
+  SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.vec_id),
+least AS (SELECT vec_id, min(r) AS r FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(r, e.vec_id) AS BIGINT) AS component_id,
+       coalesce(r, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts ON e.vec_id = counts.vec_id LEFT JOIN least ON e.vec_id = least.vec_id
+"""
+
 OP4_SQL = r"""
 WITH split AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -128,4 +155,4 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(l
 FROM split d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least l ON d.doc_id = l.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_ngram_join": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_ngram_join": OP7_SQL}
