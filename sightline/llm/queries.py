@@ -61,6 +61,24 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .samples import fold
+    from .toxicity import score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = score_toxicity(docs, docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    return done.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_languages
+    from .samples import fold
+
+    docs = _table(spark, sf_dir, "documents")
+    done = identify_languages(docs.select("doc_id", "text"), docs.where(fold("doc_id", 4) != 2))
+    return done.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -68,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op7_ngram_join": op7_ngram_join,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
 }
 
 OP1_SQL = """
