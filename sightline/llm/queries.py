@@ -79,6 +79,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_text
+
+    done = extract_text(_table(spark, sf_dir, "pages"))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
+    "op10_html_extract": op10_html_extract,
 }
 
 OP1_SQL = """
