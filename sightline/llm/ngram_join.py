@@ -9,8 +9,8 @@ that cannot reach the threshold are discarded from bounds on the sizes of the tw
    with another shares one of its first n - ceil(t * n) + 1, so only those columns are kept, and of
    them those in which two classes meet. (Which shingles are frequent only decides the order; any
    order gives the same links.)
-3. Each block first holds every class against its hub, its smallest class: as many candidates as
-   rows. A pair goes on while the sizes, and then bit sketches of the two sets, leave room for the
+3. Each block first holds every class against its hub, the class with the fewest rare shingles: as
+   many candidates as rows. A pair goes on while the sizes, and then bit sketches of the two sets, leave room for the
    overlap that the threshold asks for; then the overlap of the whole sets is counted.
 4. Classes that are linked are contracted to components. Only blocks in which several components
    still meet are multiplied out, between rows of different components and leaving out the pairs
@@ -40,8 +40,8 @@ from .scratch import materialize
 SIZE = 4
 #: Links need 100 * overlap >= PERCENT * union.
 PERCENT = 85
-#: Bits of the sketch of a set.
-SKETCH_BITS = 2048
+#: Bits of a set's sketch for each of its shingles, at least.
+SPARSE = 4
 #: Frequent shingles that are told apart in the order: a bounded table, 16 bytes an entry.
 FREQUENT = 1 << 16
 
@@ -80,12 +80,39 @@ def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(n > 0, out, np.uint64(0))
 
 
-def sketches(row: np.ndarray, value: np.ndarray, rows: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """A bit for each shingle of the set, by its hash."""
-    out = np.zeros((rows, bits // 8), np.uint8)
-    at = (value % np.uint64(bits)).astype(np.int64)
-    np.bitwise_or.at(out, (row, at >> 3), (1 << (at & 7)).astype(np.uint8))
-    return out
+def sketches(row: np.ndarray, value: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Of each set a bit map with a bit for each shingle by its hash, of at least SPARSE times as
+    many bits as shingles, a power of two: a longer one folds onto a shorter one."""
+    n = np.diff(first)
+    size = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(SPARSE * n, 1))).astype(np.int64) >> 3)
+    start = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(start[-1], np.uint8)
+    at = (value & (size[row] * 8 - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_or.at(out, start[row] + (at & (size[row] - 1)), (1 << (at // size[row])).astype(np.uint8))
+    flat = out.tobytes()
+    return [flat[a:b] for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
+def least_differences(x: list[bytes], y: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of sketches, lower bounds of how many shingles only the first, and only the second, has."""
+    only_x, only_y = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)]).reshape(-1, 2)
+    for m, k in np.unique(sizes, axis=0):
+        on = np.flatnonzero((sizes[:, 0] == m) & (sizes[:, 1] == k))
+        a, b = (np.frombuffer(b"".join(s[i] for i in on), np.uint8).reshape(len(on), -1) for s in (x, y))
+        a, b = fold(a, min(m, k)), fold(b, min(m, k))
+        only_x[on], only_y[on] = np.bitwise_count(a & ~b).sum(1, dtype=np.int64), np.bitwise_count(b & ~a).sum(1, dtype=np.int64)
+    return only_x, only_y
+
+
+def fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Sketches of `size` bytes: what the same sets give for a smaller power of two. A byte's place
+    holds the low bits of the hashes, its bits the three bits above, so bits move as bytes halve."""
+    bits = np.unpackbits(sketch, axis=1, bitorder="little").reshape(len(sketch), -1, 8).transpose(0, 2, 1).reshape(len(sketch), -1)
+    while bits.shape[1] > 8 * size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return np.packbits(bits.reshape(len(sketch), 8, -1).transpose(0, 2, 1).reshape(len(sketch), -1), axis=1, bitorder="little")
 
 
 def _measure(size: int):
@@ -97,9 +124,8 @@ def _measure(size: int):
             seen = []
             for lo, hi, words in tx.batches_of_words(batch.column(1), tx.SPACES, lower=True):
                 row, value, first = shingle_sets(words, size)
-                bits = sketches(row, value, hi - lo)
                 none = pa.nulls(hi - lo, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(tx.signed(signatures(value, first))), pa.array([x.tobytes() for x in bits], pa.binary()), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(tx.signed(signatures(value, first))), pa.array(sketches(row, value, first), pa.binary()), none, none], names=names)
                 seen.append(np.unique(value, return_counts=True))
             if seen:
                 value, count = np.concatenate([x[0] for x in seen]), np.concatenate([x[1] for x in seen])
@@ -115,7 +141,9 @@ def _measure(size: int):
 
 
 def _prefixes(size: int, percent: int, frequent):
-    """(token, sig, n_at): the first shingles of each set in the common order."""
+    """(token, sig, n, at, rare): the first shingles of each set in the common order. `rare` orders
+    sets by how many of their shingles are not frequent, then by hash: the smallest of a block is the
+    set with least of its own, to which most others of the block are near."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = frequent.value
@@ -133,7 +161,9 @@ def _prefixes(size: int, percent: int, frequent):
                 place = np.arange(len(row)) - first[row]
                 on = np.flatnonzero(place < keep[row])
                 sig = signatures(value, first)
-                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(value[order[on]])), pa.array(tx.signed(sig[row[on]])), pa.array(n[row[on]]), pa.array(place[on])], names=["token", "sig", "n", "at"])
+                own = np.minimum(np.bincount(row[late == 0], minlength=len(n)), (1 << 22) - 1).astype(np.uint64)
+                rare = (own << np.uint64(40)) | (sig >> np.uint64(24))
+                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(value[order[on]])), pa.array(tx.signed(sig[row[on]])), pa.array(n[row[on]]), pa.array(place[on]), pa.array(tx.signed(rare[row[on]]))], names=["token", "sig", "n", "at", "rare"])
 
     return scan
 
@@ -145,9 +175,8 @@ def _discard(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
             na, nb = np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b"))
-            only_a, only_b = np.bitwise_count(x & ~y).sum(1, dtype=np.int64), np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+            only_a, only_b = least_differences(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())
             most = np.minimum(na - only_a, nb - only_b)
             on = pa.array(100 * most >= percent * (na + nb - most))
             yield batch.select(["a", "b", "doc_a", "doc_b"]).filter(on)
@@ -205,9 +234,11 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     real = measured.where("doc_id is not null and n > 0")
     classes = materialize(real.groupBy("sig", "n").agg(F.min("doc_id").alias("doc"), F.first("bits").alias("bits")), "classes")
     texts = docs.where("doc_id is not null and text is not null")
-    tokens = texts.select("text").mapInArrow(_prefixes(size, percent, frequent), "token long, sig long, n long, at long")
-    shared = tokens.groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("top")).where("hub < top").select("token", "hub")
-    blocks = materialize(tokens.join(shared, "token").distinct(), "blocks")
+    tokens = texts.select("text").mapInArrow(_prefixes(size, percent, frequent), "token long, sig long, n long, at long, rare long")
+    shared = tokens.groupBy("token").agg(F.min_by("sig", "rare").alias("hub"), F.min("sig").alias("low"), F.max("sig").alias("top")).where("low < top").select("token", "hub")
+    # Written first: Spark splits hot keys of a join between two exchanges, not of one on top of a sum.
+    shared = materialize(shared, "shared")
+    blocks = materialize(tokens.drop("rare").join(shared, "token").distinct(), "blocks")
 
     pairs = blocks.where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()
     links = _links(pairs, classes, texts, size, percent)
