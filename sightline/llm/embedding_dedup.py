@@ -7,10 +7,11 @@ cosine(x, y) >= t is |x' - y'| <= r with x', y' scaled to length one and r = sqr
    inequality in its Euclidean form sets what is replicated over a boundary: x of cell i can have a
    partner in cell j only if it lies within r of the plane halfway between the pivots,
    (|x - pj|^2 - |x - pi|^2) / (2 |pi - pj|) <= r.
-3. Cells join independently. A large cell is dealt in blocks, each pair of blocks a task, so that a
-   task's size is bounded however many vectors a cell holds. Each vector counts its links in its
-   home cell alone, where all its partners are. Candidates come from a product in single precision
-   with a margin; each is decided in double precision on the vectors as given.
+   Of two cells the one with the smaller number takes the replicas, so each pair meets in one cell.
+3. Cells join independently. A cell's own vectors and its replicas are dealt in blocks, each pair of
+   blocks a task, so that a task's size is bounded however many vectors a cell holds; vectors travel
+   packed, many in a row. Candidates come from a product in single precision with a margin; each is
+   decided in double precision on the vectors as given.
 4. A task gives counts and a spanning forest of its links, not pairs; forests are merged to
    components.
 
@@ -31,6 +32,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import text as tx
 from .graph import components
 from .scratch import materialize
 
@@ -43,61 +45,100 @@ BLOCK_ROWS = 8192
 MARGIN = 1e-4
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+def _cells(batch: pa.RecordBatch, by_dim: dict, radius: float):
+    """For the vectors of each length: (length, rows, vectors, (row, cell) pairs, home cells)."""
+    lists = batch.column("vec")
+    dims = np.asarray(lists.value_lengths())
+    for dim in np.unique(dims):
+        on = np.flatnonzero(dims == dim)
+        raw = np.asarray(lists.take(pa.array(on)).flatten(), np.float64).reshape(-1, dim)
+        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        base, points = by_dim.get(int(dim), (0, unit[:1]))
+        points = points / np.linalg.norm(points, axis=1, keepdims=True)
+        gap = np.sqrt(np.maximum(2 - 2 * points @ points.T, 0))
+        for lo in range(0, len(raw), 2048):
+            square = np.maximum(2 - 2 * unit[lo : lo + 2048] @ points.T, 0)
+            row = np.arange(len(square))
+            home = square.argmin(axis=1)
+            near = square - square[row, home][:, None] <= 2 * radius * gap[home] + 1e-9
+            near &= np.arange(len(points))[None, :] < home[:, None]
+            yield int(dim), on[lo : lo + 2048], raw[lo : lo + 2048], np.argwhere(near) + [0, base], home + base
+
+
+def _sizes(pivots, radius: float):
+    """How many vectors each cell has of its own, and by replication."""
+
+    def scan(batches):
+        for batch in batches:
+            for dim, _, _, near, home in _cells(batch, pivots.value, radius):
+                for own, cells in ((True, home), (False, near[:, 1])):
+                    cell, n = np.unique(cells, return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"dim": np.full(len(cell), dim, np.int64), "cell": cell.astype(np.int64), "own": np.full(len(cell), own), "n": n.astype(np.int64)})
+
+    return scan
 
 
-def _assign(pivots, radius: float):
-    """(cell, home, rep, copies, dim, vec) for each cell that a class belongs or is replicated to."""
+def _deal(pivots, radius: float, blocks: dict):
+    """Vectors packed by task: (dim, cell, x, y, replicas, side, reps, copies, vecs, wide)."""
+    known = blocks
 
     def scan(batches):
-        by_dim = pivots.value
         for batch in batches:
-            lists = batch.column("vec")
-            dims = np.asarray(lists.value_lengths())
-            for dim in np.unique(dims):
-                on = np.flatnonzero(dims == dim)
-                part = batch.take(pa.array(on))
-                raw = np.asarray(part.column("vec").flatten(), np.float64).reshape(-1, dim)
-                base, points = by_dim.get(int(dim), (0, raw[:1]))
-                points = points / np.linalg.norm(points, axis=1, keepdims=True)
-                gap = np.sqrt(np.maximum(2 - 2 * points @ points.T, 0))
-                for lo in range(0, len(raw), 1024):
-                    own = raw[lo : lo + 1024]
-                    unit = own / np.linalg.norm(own, axis=1, keepdims=True)
-                    square = np.maximum(2 - 2 * unit @ points.T, 0)
-                    home = square.argmin(axis=1)
-                    away = square - square[np.arange(len(own)), home][:, None]
-                    near = away <= 2 * radius * gap[home] + 1e-9
-                    near[np.arange(len(own)), home] = True
-                    row, cell = np.nonzero(near)
-                    vec = [x.tobytes() for x in own]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell + base), pa.array(cell == home[row]), part.column("rep").slice(lo, 1024).take(pa.array(row)), part.column("copies").slice(lo, 1024).take(pa.array(row)), pa.array(np.full(len(row), dim, np.int64)), pa.array([vec[r] for r in row], pa.binary())],
-                        names=["cell", "home", "rep", "copies", "dim", "vec"],
-                    )
+            reps, copies = np.asarray(batch.column("rep")), np.asarray(batch.column("copies"))
+            for dim, on, raw, near, home in _cells(batch, pivots.value, radius):
+                wide = bool((raw.astype(np.float32) != raw).any())
+                flat = raw if wide else raw.astype(np.float32)
+                salt = tx.mix(np.ascontiguousarray(reps[on]).view(np.uint64))
+                row = np.concatenate((np.arange(len(on)), near[:, 0]))
+                cell = np.concatenate((home, near[:, 1]))
+                own = np.arange(len(row)) < len(on)
+                out = []
+                for c in np.unique(cell):
+                    mine, replicas = (known.value.get((dim, int(c), o), 1) for o in (True, False))
+                    for o, parts in ((True, mine), (False, replicas)):
+                        rows = row[(cell == c) & (own == o)]
+                        part = salt[rows] % np.uint64(parts)
+                        for k in range(parts):
+                            chosen = rows[part == k]
+                            if not len(chosen):
+                                continue
+                            pack = (reps[on][chosen].tobytes(), copies[on][chosen].tobytes(), flat[chosen].tobytes(), wide)
+                            if o:
+                                tasks = [(k, y, False, 0) for y in range(k, mine)] + [(x, k, False, 1) for x in range(k)] + [(k, y, True, 0) for y in range(replicas if (dim, int(c), False) in known.value else 0)]
+                            else:
+                                tasks = [(x, k, True, 1) for x in range(mine)]
+                            out += [(dim, int(c), *t, *pack) for t in tasks]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), TASK.types, strict=True)], schema=TASK)
 
     return scan
 
 
+TASK = pa.schema([("dim", pa.int64()), ("cell", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("replicas", pa.bool_()), ("side", pa.int32()), ("reps", pa.binary()), ("copies", pa.binary()), ("vecs", pa.binary()), ("wide", pa.bool_())])
+
+
+def _unpack(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    reps, copies = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("reps", "copies"))
+    vecs = [np.frombuffer(v, np.float64 if w else np.float32).astype(np.float64) for v, w in zip(table["vecs"].to_pylist(), table["wide"].to_pylist(), strict=True)]
+    return reps, copies, (np.concatenate(vecs) if vecs else np.zeros(0)).reshape(-1, dim)
+
+
 def _join(cosine: float):
     """Links between the left rows and the right rows of one pair of blocks."""
 
     def task(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        left, right = table.filter(table["left"]), table.filter(pa.compute.invert(table["left"]))
-        empty = {"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())}
-        if not left.num_rows or not right.num_rows:
-            return pa.table(empty)
-        dim = left["dim"][0].as_py()
-        a, b = (_matrix(t["vec"].combine_chunks(), dim) for t in (left, right))
+        dim = table["dim"][0].as_py()
+        alone = not table["replicas"][0].as_py() and table["x"][0].as_py() == table["y"][0].as_py()
+        left = _unpack(table.filter(pa.compute.equal(table["side"], 0)), dim)
+        right = left if alone else _unpack(table.filter(pa.compute.equal(table["side"], 1)), dim)
+        (ra, ca, a), (rb, copies, b) = left, right
         la, lb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         ua, ub = (a / la[:, None]).astype(np.float32), (b / lb[:, None]).astype(np.float32)
-        ra, rb = np.asarray(left["rep"]), np.asarray(right["rep"])
-        copies = np.asarray(right["copies"])
-        links = np.zeros(len(ra), np.int64)
+        links, back = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
         parent = list(range(len(ra)))
         owner = np.full(len(rb), -1, np.int64)  # a left row that each right row is linked with
+        if alone:
+            owner = np.arange(len(rb))
 
         def find(x: int) -> int:
             while parent[x] != x:
@@ -106,16 +147,18 @@ def _join(cosine: float):
             return x
 
         for lo in range(0, len(ra), 512):
-            i, j = np.nonzero(ua[lo : lo + 512] @ ub.T >= cosine - MARGIN)
-            i += lo
-            keep = ra[i] != rb[j]
-            i, j = i[keep], j[keep]
+            begin = lo if alone else 0
+            flat = np.flatnonzero(ua[lo : lo + 512] @ ub[begin:].T >= np.float32(cosine - MARGIN))
+            i, j = lo + flat // max(len(ub) - begin, 1), begin + flat % max(len(ub) - begin, 1)
+            if alone:
+                i, j = i[i < j], j[i < j]
             real = np.zeros(len(i), bool)
             for k in range(0, len(i), 50_000):
                 x, y = i[k : k + 50_000], j[k : k + 50_000]
                 real[k : k + 50_000] = np.einsum("ij,ij->i", a[x], b[y]) / (la[x] * lb[y]) >= cosine
             i, j = i[real], j[real]
             links += np.bincount(i, copies[j], len(ra)).astype(np.int64)
+            back += np.bincount(j, ca[i], len(rb)).astype(np.int64)
             heads = np.flatnonzero(np.diff(i, prepend=-1))
             for s, e in zip(heads, np.append(heads, len(i))[1:], strict=True):
                 x, mine = int(i[s]), j[s:e]
@@ -129,9 +172,8 @@ def _join(cosine: float):
         root = np.full(len(ra), np.iinfo(np.int64).max)
         np.minimum.at(root, tree, ra)
         np.minimum.at(root, tree[owner[on]], rb[on])
-        some = np.flatnonzero(links)
-        rep = np.concatenate((ra[some], rb[on]))
-        return pa.table({"rep": rep, "links": np.concatenate((links[some], np.zeros(len(on), np.int64))), "root": np.concatenate((root[tree[some]], root[tree[owner[on]]]))})
+        some, on = np.flatnonzero(links), np.flatnonzero(back)
+        return pa.table({"rep": np.concatenate((ra[some], rb[on])), "links": np.concatenate((links[some], back[on])), "root": np.concatenate((root[tree[some]], root[tree[owner[on]]]))})
 
     return task
 
@@ -157,15 +199,11 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, cell_rows:
         base += len(points)
     shared = spark.sparkContext.broadcast(pivots)
     radius = float(np.sqrt(2 - 2 * cosine))
-    cells = classes.mapInArrow(_assign(shared, radius), "cell long, home boolean, rep long, copies long, dim long, vec binary")
-    # At most as many rows as pivots and lengths; a block count for each cell.
-    sizes = cells.groupBy("cell", "dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    dealt = cells.join(F.broadcast(sizes) if len(pivots) <= 64 else sizes, ["cell", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["cell", "dim", "rep", "copies", "vec"]
-    left = dealt.where("home").select(*columns, F.col("own").alias("x"), every.alias("y"), F.lit(True).alias("left"))
-    right = dealt.select(*columns, every.alias("x"), F.col("own").alias("y"), F.lit(False).alias("left"))
-    found = materialize(left.unionByName(right).groupBy("cell", "dim", "x", "y").applyInArrow(_join(cosine), "rep long, links long, root long"), "links")
+    sizes = classes.mapInArrow(_sizes(shared, radius), "dim long, cell long, own boolean, n long").groupBy("dim", "cell", "own").agg(F.sum("n").alias("n"))
+    # A row for each pivot at most, twice, and for each length of vectors.
+    blocks = spark.sparkContext.broadcast({(r["dim"], r["cell"], r["own"]): -(-r["n"] // block_rows) for r in sizes.collect()})
+    dealt = classes.mapInArrow(_deal(shared, radius, blocks), "dim long, cell long, x int, y int, replicas boolean, side int, reps binary, copies binary, vecs binary, wide boolean")
+    found = materialize(dealt.groupBy("dim", "cell", "x", "y", "replicas").applyInArrow(_join(cosine), "rep long, links long, root long"), "links")
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.selectExpr("rep as a", "root as b")).withColumnRenamed("node", "rep")
