@@ -55,6 +55,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", n.alias("n_items"), _sha(F.array_join(F.sort_array(F.col("items").cast("array<string>")), ",")).alias("items_sha256"), (n >= 2).alias("contaminated"))
 
 
+def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_lm import classify_quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    done = classify_quality(docs, _table(spark, sf_dir, "labels").where("quality = 1"))
+    return done.select("doc_id", "lang", "perplexity", "bar", "kept")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_components
 
@@ -92,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality_lm": op6_quality_lm,
     "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
