@@ -32,7 +32,7 @@ from .samples import sampled
 from .scratch import extended
 
 #: Labelled texts of each class that are sampled.
-TOXIC_ROWS, OTHER_ROWS = 1500, 3500
+TOXIC_ROWS, OTHER_ROWS = 1000, 2500
 SPAN, DECAY = 7, 0.6
 LANDMARKS = 256
 #: Rounds of training, each with the words that the last one took for positive.
@@ -117,6 +117,11 @@ def features(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def projected(strings: list[str], fold: np.ndarray) -> np.ndarray:
+    """Vectors of words over the landmarks; the kernel's feature space holds few words at a time."""
+    return np.vstack([np.zeros((0, fold.shape[1]), np.float32), *(features(*encode(strings[i : i + 128])) @ fold for i in range(0, len(strings), 128))])
+
+
 def word_values(symbols: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
     """The machine's value of each word: of its highest part."""
     word, lo, hi = parts(symbols, offsets)
@@ -178,6 +183,25 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, ro
     return w[:-1], float(w[-1])
 
 
+def word_places(texts: list[str], toxic: list[int]) -> list[Counter]:
+    """Of texts of class 0, and of class 1: between how many different neighbours each word stands,
+    so that copies of a passage count once."""
+    index: dict[str, int] = {"": 0}
+    ids = [np.array([0, *(index.setdefault(w, len(index)) for w in map(letters_of, t.split()) if w), 0], np.uint64) for t in texts]
+    row = np.repeat(np.array(toxic), [len(i) for i in ids])
+    word = np.concatenate(ids)
+    with np.errstate(over="ignore"):
+        place = tx.mix(word + np.roll(word, 1) * tx.WORD_STEP + np.roll(word, -1) * tx.BYTE_STEP)
+    names = list(index)
+    out = []
+    for y in (0, 1):
+        on = np.flatnonzero((row == y) & (word > 0))
+        _, first = np.unique(place[on], return_index=True)
+        count = np.bincount(word[on][first].astype(np.int64), minlength=len(names))
+        out.append(Counter({names[i]: int(count[i]) for i in np.flatnonzero(count)}))
+    return out
+
+
 class Model:
     """Folded weights of the machine and the logistic function of a text."""
 
@@ -186,14 +210,7 @@ class Model:
         self.weights: np.ndarray | None = None
         if len(set(toxic)) < 2:
             return
-        # How often a word stands between different neighbours: copies of a passage count once.
-        places: list[dict[str, set[int]]] = [{}, {}]
-        for text, y in zip(texts, toxic, strict=True):
-            words = [w for w in map(letters_of, text.split()) if w]
-            for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-                places[y].setdefault(w, set()).add(hash((before, after)))
-        seen = [Counter({w: len(s) for w, s in p.items()}) for p in places]
-        del places
+        seen = word_places(texts, toxic)
         heads = [Counter(), Counter()]
         for y in (1, 0):
             for w, n in seen[y].items():
@@ -225,21 +242,21 @@ class Model:
         known = set(positive)
         negative = [w for w in seen[0] if w not in known]
         sp, op = encode(negative)
-        fp, fb = features(*encode(positive)), features(*encode(bent)) if bent else np.zeros((0, SYMBOLS**3), np.float32)
         # Landmarks: the commonest positive words, and negative words: common ones, and those that
         # the machine so far takes for positive. Then it is trained anew; three times in all.
-        near = word_values(sp, op, fp[: landmarks // 2].mean(0), 0.0)
+        first = features(*encode(positive[: landmarks // 2]))
+        near = word_values(sp, op, first.mean(0), 0.0)
         hard: dict[int, None] = dict.fromkeys(range(min(2000, len(negative))))
         for _ in range(ROUNDS):
             worst = np.argsort(-near, kind="stable")[:1500].tolist()
             hard.update(dict.fromkeys(worst))
             chosen = worst[: landmarks - landmarks // 2 - 16] + list(range(min(16, len(negative))))
-            fn = features(*encode([negative[i] for i in hard]))
-            z = np.vstack([fp[: landmarks // 2], features(*encode([negative[i] for i in chosen]))])
+            z = np.vstack([first, features(*encode([negative[i] for i in chosen]))])
             value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
             on = value > 1e-6 * value.max()
-            fold = (z.T.astype(np.float64) @ (vector[:, on] / np.sqrt(value[on]))).astype(np.float32)
-            x = np.vstack([fp @ fold, fb @ fold, fn @ fold]).astype(np.float64)
+            fold = z.T @ (vector[:, on] / np.sqrt(value[on])).astype(np.float32)
+            fp, fb, fn = (projected(words, fold) for words in (positive, bent, [negative[i] for i in hard]))
+            x = np.vstack([fp, fb, fn]).astype(np.float64)
             y = np.concatenate((np.ones(len(fp) + len(fb)), -np.ones(len(fn))))
             w, self.bias = svm(x, y, np.where(y > 0, len(fn) / max((y > 0).sum(), 1), 1.0))
             self.weights = (fold @ w).astype(np.float32)
