@@ -164,7 +164,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         .where("lo < hi")
         .select("anchor", F.expr("r0 <> r1").alias("several"))
     )
-    met = materialize(seeds.join(shared, "anchor"), "seeds")
+    # Written first: Spark splits hot keys of a join between two exchanges, not of one on top of a sum.
+    met = materialize(seeds.join(materialize(shared, "shared"), "anchor"), "seeds")
     classes = materialize(met.groupBy("anchor", "run", "several").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "classes")
     copies = (
         met.select("anchor", "run", "doc_id")
