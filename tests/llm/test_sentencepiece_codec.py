@@ -22,7 +22,8 @@ def test_codec_is_the_library(monkeypatch):
     codec = Codec(MODEL)
     for start in range(0, len(texts()), 100):
         part = texts()[start : start + 100]
-        ids, at = codec.encode(part)
+        ids, at, agreed = codec.encode(part)
+        assert agreed.all()
         theirs = codec.library.encode(part, add_eos=True)
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == theirs
         assert codec.decode(ids, at) == [codec.library.decode(x) for x in theirs]
