@@ -373,13 +373,13 @@ def promotion_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ga.decision(_clauses(spark, sf_dir))
 
 
-ASSIGN_SQL = "assigned AS (SELECT DISTINCT 'MVI_' || (c_custkey % 50) AS sequence, (['train','train','val','test','prod_holdout'])[(c_custkey // 11) % 5 + 1] AS split FROM customer WHERE c_custkey % 3 = 0)"
+ASSIGN_SQL = "assigned AS (SELECT DISTINCT 'MVI_' || (c_custkey % 50) AS sequence, (['train','train','val','test','prod_holdout'])[(c_custkey // 11) % 5 + 1] AS split FROM customer)"
 POOL_SQL = "pool AS (SELECT DISTINCT 'MVI_' || (s_suppkey % 60) AS sequence FROM supplier)"
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     names = F.array(*map(F.lit, ["train", "train", "val", "test", "prod_holdout"]))
-    c = v.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("MVI_"), F.col("c_custkey") % 50).alias("sequence"), F.get(names, (F.expr("c_custkey div 11") % 5).cast("int")).alias("split")).distinct()
+    c = v.table(spark, sf_dir, "customer").select(F.concat(F.lit("MVI_"), F.col("c_custkey") % 50).alias("sequence"), F.get(names, (F.expr("c_custkey div 11") % 5).cast("int")).alias("split")).distinct()
     return c, v.table(spark, sf_dir, "supplier").select(F.concat(F.lit("MVI_"), F.col("s_suppkey") % 60).alias("sequence")).distinct()
 
 
@@ -400,7 +400,7 @@ def pool_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ga.forbidden_in_pool(p, a)
 
 
-EPOCHS_SQL = "epochs AS (SELECT o_custkey % 100 AS run_id, CAST(row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) - 1 AS BIGINT) AS epoch, o_totalprice / 1000 AS train_loss, (o_orderkey*37 % 101 + 20) / 20.0::DOUBLE AS val_loss, (o_orderkey*53 % 97) / 97.0::DOUBLE AS map FROM orders WHERE o_orderkey % 7 = 0)"
+EPOCHS_SQL = "epochs AS (SELECT o_custkey % 100 AS run_id, CAST(row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) - 1 AS BIGINT) AS epoch, o_totalprice / 1000 AS train_loss, (o_orderkey*37 % 101 + 20) / 20.0::DOUBLE AS val_loss, (o_orderkey*53 % 97) / 97.0::DOUBLE AS map FROM orders)"
 
 
 @query(f"""WITH {EPOCHS_SQL}, a AS (SELECT run_id, count(*) AS n, arg_min(train_loss, epoch) AS t0, arg_max(train_loss, epoch) AS t1, arg_max(val_loss, epoch) AS v1, min(val_loss) AS vm FROM epochs GROUP BY run_id),
@@ -412,7 +412,7 @@ SELECT run_id, diverged, overfit, underfit, diverged OR overfit OR underfit AS s
 def loss_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    o = v.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").withColumn("run_id", F.col("o_custkey") % 100)
+    o = v.table(spark, sf_dir, "orders").withColumn("run_id", F.col("o_custkey") % 100)
     e = o.select("run_id", (F.row_number().over(W.partitionBy("run_id").orderBy("o_orderkey")) - 1).cast("long").alias("epoch"), (F.col("o_totalprice") / 1000).alias("train_loss"), F.expr("(o_orderkey*37 % 101 + 20) / 20D").alias("val_loss"), F.expr("(o_orderkey*53 % 97) / 97D").alias("map"))
     return ga.diagnose(e)
 
@@ -429,15 +429,15 @@ def best_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ga.best_trial(t, ["l_suppkey"])
 
 
-@query("""WITH z AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS u, list_avg(CAST(embedding AS DOUBLE[])) AS m FROM embeddings),
-c AS (SELECT vec_id, list_transform(u, lambda x: x - m) AS w FROM z),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.w, b.w) AS corr FROM c a JOIN c b ON a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0)
+@query("""WITH z AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS u, list_avg(CAST(embedding AS DOUBLE[])) AS m FROM embeddings),
+c AS (SELECT vec_id, label, list_transform(u, lambda x: x - m) AS w FROM z),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.w, b.w) AS corr FROM c a JOIN c b ON a.label <= 2 AND b.label > 2)
 SELECT a, b, round(corr, 6) AS corr, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY corr DESC, b) AS place FROM p) WHERE place <= 3""")
 def nearest_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The night and day roles of the operator are the vectors whose number divides by four and the rest."""
-    f = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    ids = f.select("id")
-    return fe.nearest(f, ids.where("id % 4 = 0"), ids.where("id % 4 <> 0")).select("a", "b", r6("corr"), "place")
+    """Labels up to 2 stand for the dark scenes, the others for the bright ones."""
+    raw = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    f = raw.drop("label")
+    return fe.nearest(f, raw.where("label <= 2").select("id"), raw.where("label > 2").select("id")).select("a", "b", r6("corr"), "place")
 
 
 @query("""WITH RECURSIVE z AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS u, list_avg(CAST(embedding AS DOUBLE[])) AS m FROM embeddings),
@@ -474,12 +474,12 @@ def frame_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {V}, d AS (SELECT image_id, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, least(1, greatest(0, (x1 + (x2-x1)/2)/960.0::DOUBLE)), least(1, greatest(0, (y1 + (y2-y1)/2)/540.0::DOUBLE)),
-  least(1, greatest(0, (x2-x1)/960.0::DOUBLE)), least(1, greatest(0, (y2-y1)/540.0::DOUBLE))), chr(10) ORDER BY gt_ordinal) AS body FROM gt WHERE image_id % 5 <> 0 GROUP BY image_id)
+  least(1, greatest(0, (x2-x1)/960.0::DOUBLE)), least(1, greatest(0, (y2-y1)/540.0::DOUBLE))), chr(10) ORDER BY gt_ordinal) AS body FROM gt GROUP BY image_id)
 SELECT i.image_id, coalesce(body, '') || chr(10) AS label_text FROM images i LEFT JOIN d ON i.image_id = d.image_id""")
 def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.sinks import label_texts
 
-    boxes = v.gt_boxes(spark, sf_dir).where("image_id % 5 <> 0").selectExpr("image_id", "class_id", "gt_ordinal as ordinal", "x1 as left", "y1 as top", "x2-x1 as width", "y2-y1 as height")
+    boxes = v.gt_boxes(spark, sf_dir).selectExpr("image_id", "class_id", "gt_ordinal as ordinal", "x1 as left", "y1 as top", "x2-x1 as width", "y2-y1 as height")
     return label_texts(v.images(spark, sf_dir), boxes)
 
 
