@@ -16,6 +16,8 @@ def scratch_folder(spark: SparkSession) -> str:
     tests, a folder of this process is made and removed at its end."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(scratch_folder, "own", None)
         if not folder:
             folder = scratch_folder.own = "file://" + tempfile.mkdtemp(prefix="sightline-")

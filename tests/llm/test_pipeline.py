@@ -36,3 +36,20 @@ def test_stages_in_order_against_brute_force(spark):
 
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_stages_stand_odd_rows_and_empty_tables(spark, tmp_path):
+    from .cases import odd_rows
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in odd_rows()], columns)
+    spark.createDataFrame([(1, 0, 0), (5, 1, 1), (None, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in (docs, docs.where("false")):
+        left = rows.count()
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, str(tmp_path)).cache()
+            assert rows.count() <= left, name
+            left = rows.count()
+            if name != "sentencepiece":
+                assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars"]
