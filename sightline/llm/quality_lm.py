@@ -1,6 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The units are characters, of order `ORDER`. The model is trained on all trusted texts. Each n-gram
+The units are characters, of order `ORDER`. The model is trained on all
+trusted texts but a fifth, from which the bars are taken. Each n-gram
 has a slot by its hash, out of a fixed number for each order, so the model has a proven size:
 n-grams that share a slot share its count. Counts are summed over the cluster by slot, in shards:
 each task first adds up its own. Lower orders count in how many different contexts an n-gram stands;
@@ -38,6 +39,9 @@ SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
 #: Share of a language's trusted texts that is kept.
 QUANTILE = 0.995
+#: One in so many trusted texts is not trained on; the quantiles come from these, as a model knows its
+#: own texts better than others that are as good.
+HELD_OUT = 5
 #: Bits of the filter of trusted ids.
 FILTER_BITS = 1 << 23
 
@@ -191,7 +195,8 @@ def train(docs: DataFrame, trusted: DataFrame) -> Model:
         bits[r.byte] = r.bits
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     likely = texts.mapInArrow(_likely(spark.sparkContext.broadcast(bits)), "doc_id long, text string")
-    counted = likely.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_count, "n int, slot int, context int, suffix int, count long")
+    # Labels grow with the corpus: the same kind of join at every size.
+    counted = likely.join(ids.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_count, "n int, slot int, context int, suffix int, count long")
     summed = counted.groupBy("n", "slot").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("count").alias("count"))
     shard = F.shiftright(F.col("slot"), 13)
     packed = summed.groupBy("n", shard.alias("shard")).applyInArrow(_pack, "n int, slots binary, contexts binary, suffixes binary, counts binary")
@@ -205,15 +210,20 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table({"n": table["n"][:1], **{name: [np.asarray(table[c]).tobytes()] for name, c in (("slots", "slot"), ("contexts", "context"), ("suffixes", "suffix"), ("counts", "count"))}})
 
 
-def classify_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def classify_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, with_text: bool = True) -> DataFrame:
     """All columns of `docs` (doc_id, text, lang) and perplexity, bar and kept. `trusted` has the
-    doc_id of trusted rows. Columns of `docs` with these names are replaced."""
-    docs = docs.drop("perplexity", "bar", "kept", "__lang").withColumn("text", F.col("text").cast("string"))
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, trusted))
+    doc_id of trusted rows. Columns of `docs` with these names are replaced. Without `with_text` the
+    text is left out, and texts are scored once, not a second time for the result."""
+    docs = docs.drop("perplexity", "bar", "kept", "__lang", "__size").withColumn("text", F.col("text").cast("string"))
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HELD_OUT)) == 0
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, trusted.where(~held_out)))
     schema = extended(docs.schema, "perplexity double")
     scored = docs.mapInArrow(_score(model, docs.columns.index("text"), schema.names), schema)
-    judged = materialize(scored.select("doc_id", "lang", "perplexity"), "perplexities")
-    known = judged.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").where("perplexity is not null")
+    scored = scored.withColumn("__size", F.coalesce(F.length("text"), F.lit(0)))
+    judged = materialize(scored.drop("text"), "perplexities")
+    if not with_text:
+        scored = judged
+    known = judged.join(trusted.where(held_out).select("doc_id").distinct(), "doc_id", "left_semi").where("perplexity is not null")
     bars = known.rollup("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("bar"), F.grouping("lang").alias("whole"))
     bars = materialize(bars, "bars")
     overall = bars.where("whole = 1").select(F.col("bar").alias("all_bar"))
@@ -221,5 +231,5 @@ def classify_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUAN
     # One row, and a row for each language code.
     named = scored.join(per_lang, scored["lang"] == F.col("__lang"), "left").drop("__lang").join(F.broadcast(overall), F.lit(True), "left")
     bar = F.coalesce("lang_bar", "all_bar")
-    text = F.coalesce(F.length("text"), F.lit(0)) > 0
-    return named.withColumn("bar", bar).withColumn("kept", text & F.coalesce(F.col("perplexity") <= F.col("bar"), F.lit(True))).drop("lang_bar", "all_bar")
+    text = F.col("__size") > 0
+    return named.withColumn("bar", bar).withColumn("kept", text & F.coalesce(F.col("perplexity") <= F.col("bar"), F.lit(True))).drop("lang_bar", "all_bar", "__size")

@@ -59,7 +59,7 @@ def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_lm import classify_quality
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    done = classify_quality(docs, _table(spark, sf_dir, "labels").where("quality = 1"))
+    done = classify_quality(docs, _table(spark, sf_dir, "labels").where("quality = 1"), with_text=False)
     return done.select("doc_id", "lang", "perplexity", "bar", "kept")
 
 
