@@ -90,11 +90,27 @@ def read_yolo(spark: SparkSession, path: str, width: float = FRAME_WIDTH, height
 
 def read_ignore_json(spark: SparkSession, path: str) -> DataFrame:
     """(sequence, corners) of exported ignore regions; files without boxes give none."""
-    schema = "sequence STRING, boxes ARRAY<STRUCT<left: DOUBLE, top: DOUBLE, width: DOUBLE, height: DOUBLE>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select("sequence", F.explode("boxes").alias("b"))
+    schema = "sequence STRING, ignore_regions ARRAY<STRUCT<left: DOUBLE, top: DOUBLE, width: DOUBLE, height: DOUBLE>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select("sequence", F.explode("ignore_regions").alias("b"))
     return rows.select("sequence", *[c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), from_ltwh(*[F.col(f"b.{c}") for c in ("left", "top", "width", "height")]))])
 
 
+def label_suite(spark: SparkSession, labels: str, ignores: str, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, gt boxes, ignore boxes) of a suite of label files and exported ignore regions. `groups`
+    has group, weathers and sequences; a sequence's camera is its group, and a group with more than one
+    weather raises, as its images' weather would be open."""
+    from ..functions.scalars import sequence_of
+
+    files, boxes = read_yolo(spark, labels)
+    stop = F.raise_error(F.concat(F.lit("more than one weather in "), F.col("group"))).cast("string")
+    weather = F.when(F.size("weathers") == 1, F.get("weathers", 0)).otherwise(stop)
+    known = groups.select(F.explode("sequences").alias("sequence"), F.col("group").alias("camera"), weather.alias("weather"))
+    images = files.withColumn("sequence", sequence_of(F.col("image_id"))).join(F.broadcast(known), "sequence", "left")
+    place = F.row_number().over(W.partitionBy("image_id").orderBy("class_id", "x1", "y1", "x2", "y2")) - 1
+    regions = images.select("image_id", "sequence").join(read_ignore_json(spark, ignores), "sequence").drop("sequence")
+    return images.select("image_id", "weather", "camera"), boxes.withColumn("gt_ordinal", place), regions
+
+
 MANIFEST_SCHEMA = "meta MAP<STRING, STRING>, images ARRAY<STRUCT<id: STRING, file: STRING, width: INT, height: INT, camera: STRING, weather: STRING, boxes: ARRAY<ARRAY<DOUBLE>>, ignore: ARRAY<ARRAY<DOUBLE>>>>"
 
 

@@ -109,11 +109,16 @@ def write_label_files(texts: DataFrame, folder: str) -> int:
     return texts.mapInPandas(save, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def ignore_documents(sequences: DataFrame, regions: DataFrame) -> DataFrame:
-    """(sequence, document): JSON with a version, the box convention and the boxes, of every sequence."""
+#: Fixed values of the exported format.
+IGNORE_VERSION, IGNORE_CONVENTION = 1, "xywh_px_topleft_origin_rb_exclusive_float"
+
+
+def ignore_documents(sequences: DataFrame, regions: DataFrame, image_width: int = 960, image_height: int = 540) -> DataFrame:
+    """(sequence, document): self-describing JSON of a sequence's ignore regions, for every sequence."""
     box = F.struct("left", "top", "width", "height")
     listed = regions.groupBy("sequence").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", box.alias("b")))), lambda s: s["b"]).alias("boxes"))
-    doc = F.struct(F.lit(1).alias("version"), "sequence", F.lit("xywh_px_topleft_origin_rb_exclusive_float").alias("convention"), F.coalesce("boxes", F.array().cast("array<struct<left:double,top:double,width:double,height:double>>")).alias("boxes"))
+    empty = F.array().cast("array<struct<left:double,top:double,width:double,height:double>>")
+    doc = F.struct(F.lit(IGNORE_VERSION).alias("schema_version"), "sequence", F.lit(IGNORE_CONVENTION).alias("coordinate_convention"), F.lit(image_width).alias("image_width"), F.lit(image_height).alias("image_height"), F.coalesce("boxes", empty).alias("ignore_regions"))
     return sequences.select("sequence").distinct().join(listed, "sequence", "left").select("sequence", F.to_json(doc).alias("document"))
 
 
@@ -126,6 +131,28 @@ def compact_manifest(images: DataFrame, gt: DataFrame, ignore: DataFrame) -> Dat
     return images.join(boxes, "image_id", "left").join(regions, "image_id", "left").withColumns({"boxes": F.coalesce("boxes", empty), "ignore": F.coalesce("ignore", empty)})
 
 
+def manifest_document(manifest: DataFrame, meta: Mapping) -> str:
+    """JSON of a compact manifest, for sets of a few thousand images; `meta` names dataset, role,
+    source, split, sample and classes."""
+    images = [{**{k: v for k, v in r.asDict().items() if k not in ("image_id", "boxes", "ignore")}, "id": r["image_id"], "boxes": r["boxes"], "ignore": r["ignore"]} for r in manifest.orderBy("image_id").toLocalIterator()]
+    return json.dumps({"meta": dict(meta), "images": images}, indent=2) + "\n"
+
+
+def data_document(names: Sequence[str], split_paths: Mapping[str, str]) -> str:
+    """YAML that tells a trainer a dataset's classes and folders."""
+    import yaml
+
+    return yaml.safe_dump({"path": ".", "names": dict(enumerate(names)), **split_paths}, sort_keys=False)
+
+
+def frame_document(manifest: DataFrame, raw_source: str) -> str:
+    """YAML of a frame manifest: a sequence's frames and folder, and the pinned source."""
+    import yaml
+
+    rows = manifest.orderBy("sequence").collect()
+    return yaml.safe_dump({"raw_source": raw_source, "sequences": {r["sequence"]: {"frame_count": r["frame_count"], "archive_dir": r["archive_dir"]} for r in rows}}, sort_keys=False)
+
+
 def frame_manifest(frames: DataFrame, archive_dirs: DataFrame, source_md5: str) -> DataFrame:
     """(sequence, frame_count, archive_dir, source_md5)."""
     counts = frames.groupBy("sequence").agg(F.countDistinct("frame_num").alias("frame_count"))

@@ -53,3 +53,12 @@ def test_dataset_build(spark):
     chosen, boxes = build_labels(frames, targets, manifest, routes, canon, "d", 2)
     assert sorted(r.frame_num for r in chosen.collect()) == [1, 3, 5]
     assert sorted((r.frame_num, r.class_id) for r in boxes.collect()) == [(1, 0), (3, 2)]
+
+
+def test_flicker_keeps_the_last_frame_as_state(spark, tmp_path):
+    rows = [("c", k, n) for k, n in enumerate([3, 3, 5, 1])] + [("d", 0, 2), ("d", 1, 2)]
+    spark.createDataFrame(rows, "camera string, frame_num long, n long").coalesce(1).write.parquet(str(tmp_path / "n"))
+    stream = spark.readStream.schema("camera string, frame_num long, n long").parquet(str(tmp_path / "n"))
+    q = mo.flicker(stream).writeStream.outputMode("append").format("memory").queryName("flicker").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {tuple(r) for r in spark.table("flicker").collect()} == {("c", 1, 0), ("c", 2, 2), ("c", 3, 4), ("d", 1, 0)}

@@ -110,7 +110,7 @@ def test_ignore_documents_and_renderings(spark):
     seqs = spark.createDataFrame([("s",), ("t",)], "sequence string")
     regions = spark.createDataFrame([("s", 0, 1.0, 2.0, 3.0, 4.0)], "sequence string, ordinal int, left double, top double, width double, height double")
     docs = {r.sequence: json.loads(r.document) for r in si.ignore_documents(seqs, regions).collect()}
-    assert docs["s"]["boxes"] == [{"left": 1.0, "top": 2.0, "width": 3.0, "height": 4.0}] and docs["t"]["boxes"] == []
+    assert docs["s"]["ignore_regions"] == [{"left": 1.0, "top": 2.0, "width": 3.0, "height": 4.0}] and docs["t"]["ignore_regions"] == [] and docs["t"]["image_width"] == 960
     clauses = spark.createDataFrame([("C1", True, "x"), ("C2", False, "y")], "clause string, passed boolean, detail string")
     from sightline.operators.gates import decision
 
@@ -162,3 +162,65 @@ def test_clusters_and_nearest(spark):
     assert {r.id: r.cluster for r in fe.clusters(f).collect()} == {k: k % 3 if k < 9 else 9 for k in range(10)}
     near = fe.nearest(f, f.select("id").where("id = 0"), f.select("id").where("id > 0"), 2).collect()
     assert {r.b for r in near} == {3, 6}
+
+
+def test_label_suite_and_ignore_round_trip(spark, tmp_path):
+    from sightline.operators.splits import group_table
+
+    (tmp_path / "labels").mkdir()
+    (tmp_path / "labels/MVI_1_img00001.txt").write_text("0 0.5 0.5 0.1 0.2\n2 0.1 0.1 0.1 0.1\n")
+    (tmp_path / "labels/MVI_1_img00002.txt").write_text("\n")
+    seqs = spark.createDataFrame([("MVI_1",)], "sequence string")
+    regions = spark.createDataFrame([("MVI_1", 0, 1.0, 2.0, 3.0, 4.0)], "sequence string, ordinal int, left double, top double, width double, height double")
+    (tmp_path / "i.json").write_text(si.ignore_documents(seqs, regions).first().document)
+    groups = group_table(spark, {"cam": {"weathers": ["night"], "sequences": ["MVI_1"]}})
+    images, gt, ignore = an.label_suite(spark, str(tmp_path / "labels"), str(tmp_path / "i.json"), groups)
+    assert {(r.camera, r.weather) for r in images.collect()} == {("cam", "night")} and images.count() == 2
+    assert gt.count() == 2 and [(r.x1, r.y2) for r in ignore.where("image_id = 'MVI_1_img00002'").collect()] == [(1.0, 6.0)]
+    mixed = group_table(spark, {"cam": {"weathers": ["night", "sunny"], "sequences": ["MVI_1"]}})
+    with pytest.raises(Exception, match="more than one weather"):
+        an.label_suite(spark, str(tmp_path / "labels"), str(tmp_path / "i.json"), mixed)[0].collect()
+
+
+def test_documents(spark):
+    import yaml
+
+    assert yaml.safe_load(si.data_document(["car", "bus"], {"train": "images/train"})) == {"path": ".", "names": {0: "car", 1: "bus"}, "train": "images/train"}
+    m = spark.createDataFrame([("s", 3, "d")], "sequence string, frame_count long, archive_dir string")
+    assert yaml.safe_load(si.frame_document(m, "src"))["sequences"]["s"] == {"frame_count": 3, "archive_dir": "d"}
+    images = spark.createDataFrame([("i", 4, [[1.0]], [])], "image_id string, width int, boxes array<array<double>>, ignore array<array<double>>")
+    doc = json.loads(si.manifest_document(images, {"dataset": "d"}))
+    assert doc["images"] == [{"width": 4, "id": "i", "boxes": [[1.0]], "ignore": []}]
+
+
+def test_provenance_and_fetching(tmp_path):
+    from sightline.functions import provenance as pr
+    from sightline.sources import fetch as fe2
+
+    assert pr.masked(["run", "password", "x", "--token", "y", "z"]) == "run password ******** --token ******** z"
+    assert pr.merged({"overrides": {"lr0": 1, "a": 2}}, {"lr0": 3}) == {"lr0": 3, "a": 2} and pr.git("no-such-command") == "unknown"
+    assert pr.provenance("w/yolov8n.pt", 0, 10, "cpu", ["car"])["note"] and not pr.provenance("coco/yolov8n.pt", 0, 10, "cpu", [])["note"]
+    space = {"lr": {"dist": "loguniform", "low": 1e-4, "high": 1e-2}, "m": {"dist": "uniform", "low": 0, "high": 1}, "o": {"dist": "choice", "values": ["a", "b"]}}
+    point = pr.drawn(space, 1)
+    assert point == pr.drawn(space, 1) and 1e-4 <= point["lr"] <= 1e-2 and point["o"] in "ab"
+    with pytest.raises(ValueError):
+        pr.drawn({"x": {"dist": "normal"}}, 1)
+    content = {"v": b"one"}
+
+    def write(archive, folder):
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / archive["filename"]).write_bytes(content["v"])
+        return folder / archive["filename"]
+
+    fe2.FETCHERS["memory"] = write
+    archives = [{"id": "a", "filename": "a.bin", "source": "memory"}]
+    locks: dict[str, str] = {}
+    assert fe2.obtain(archives, tmp_path / "d", locks) == {"a": "fetched"} and fe2.obtain(archives, tmp_path / "d", locks) == {"a": "skipped"}
+    content["v"] = b"two"
+    (tmp_path / "d/a.bin").unlink()
+    with pytest.raises(si.ChecksumMismatch):
+        fe2.obtain(archives, tmp_path / "d", locks)
+    with pytest.warns(UserWarning):
+        fe2.obtain_all([{"name": "s", "role": "stretch", "archives": [{"id": "b", "filename": "b", "source": "none"}]}], tmp_path, locks)
+    with pytest.raises(ValueError):
+        fe2.fetch({"source": "none"}, tmp_path)
