@@ -26,7 +26,7 @@ from .page_generator import pages as made_pages
 from .scratch import extended
 
 #: Pages to train on, and units of each direction.
-TRAIN_PAGES, EPOCHS, UNITS = 900, 8, 24
+TRAIN_PAGES, EPOCHS, UNITS = 2500, 9, 24
 WORD_SLOTS = 48
 
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())

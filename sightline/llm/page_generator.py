@@ -88,12 +88,20 @@ class Maker:
             self.leaf(tag, self.words(rng.randint(2, 20), BLURB.get(kind, ""), 0.3), 0, names)
             return
         self.out.append(f"<{tag}{names}>")
+        share = rng.choice([0, 0.2, 0.5])
+        if rng.random() < 0.4:
+            self.leaf(rng.choice(["h2", "h3", "h4"]), self.words(rng.randint(1, 6), BLURB.get(kind, ""), share), 0)
+        shape = rng.choice(["flat", "list", "nested"])
+        outer = rng.choice(["ul", "ol"])
+        self.out.append(f"<{outer}>" if shape == "list" else "")
         for _ in range(rng.randint(*blocks)):
-            inner = rng.choice(["p", "div", "h3", "li", "span"]) if kind != "comments" else rng.choice(["p", "p", "div", "h3"])
-            inner = "div" if inner == "span" else inner
-            n = rng.randint(6, 60) if kind == "comments" and rng.random() < 0.7 else rng.randint(1, 18)
-            self.leaf(inner, self.words(n, BLURB.get(kind, ""), rng.choice([0, 0.2, 0.5])), 0)
-        self.out.append(f"</{tag}>")
+            long = kind == "comments" and rng.random() < 0.7 or rng.random() < 0.15
+            text = self.sentences(rng.randint(1, 5)) if long and share < 0.5 else self.words(rng.randint(6, 60) if long else rng.randint(1, 18), BLURB.get(kind, ""), share)
+            if shape == "nested":
+                self.out.append(f"<div{self.names(kind)}>")
+            self.leaf("li" if shape == "list" else rng.choice(["p", "p", "div", "h3"]), text, 0)
+            self.out.append("</div>" if shape == "nested" else "")
+        self.out.append((f"</{outer}>" if shape == "list" else "") + f"</{tag}>")
 
     def form(self) -> None:
         text = self.words(self.rng.randint(1, 6), BLURB["form"], 0.5)
