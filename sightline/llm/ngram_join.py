@@ -44,6 +44,8 @@ PERCENT = 85
 SPARSE = 4
 #: Frequent shingles that are told apart in the order: a bounded table, 16 bytes an entry.
 FREQUENT = 1 << 16
+#: Pairs of texts that a task holds the sets of.
+PAIRS = 400
 
 
 def shingle_sets(words: tx.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,22 +118,18 @@ def fold(sketch: np.ndarray, size: int) -> np.ndarray:
 
 
 def _measure(size: int):
-    """Per document its set's size, signature and sketch; and per batch the frequent shingles."""
+    """Per document its set's size, signature and sketch; and of each part of a batch, some hundred
+    documents, the shingles that stand out as frequent in it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "sig", "bits", "shingle", "df"]
         for batch in batches:
-            seen = []
             for lo, hi, words in tx.batches_of_words(batch.column(1), tx.SPACES, lower=True):
                 row, value, first = shingle_sets(words, size)
                 none = pa.nulls(hi - lo, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(tx.signed(signatures(value, first))), pa.array(sketches(row, value, first), pa.binary()), none, none], names=names)
-                seen.append(np.unique(value, return_counts=True))
-            if seen:
-                value, count = np.concatenate([x[0] for x in seen]), np.concatenate([x[1] for x in seen])
-                value, back = np.unique(value, return_inverse=True)
-                count = np.bincount(back, count, len(value)).astype(np.int64)
-                often = count >= max(3, batch.num_rows // 256)
+                value, count = np.unique(value, return_counts=True)
+                often = count >= max(3, (hi - lo) // 128)
                 k = int(often.sum())
                 if k:
                     none = pa.nulls(k, pa.int64())
@@ -188,7 +186,7 @@ def _count(size: int, percent: int):
     """Counts the overlap of the whole sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, PAIRS) for b in batches for lo in range(0, b.num_rows, PAIRS)):
             both = [], []
             for column, out in zip(("text_a", "text_b"), both, strict=True):
                 for lo, hi, words in tx.batches_of_words(batch.column(column), tx.SPACES, lower=True):
@@ -225,7 +223,9 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialize(docs.mapInArrow(_measure(size), "doc_id long, n long, sig long, bits binary, shingle long, df long"), "sets")
     measured = sets.where("shingle is null").select("doc_id", "n", "sig", "bits")
-    often = sets.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "shingle").limit(FREQUENT).collect()
+    # Shingles of one document in a thousand: at most a thousand times as many as a document has.
+    total = measured.count()
+    often = sets.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") * 1000 >= total).orderBy(F.desc("df"), "shingle").limit(FREQUENT).collect()
     known = np.array([r["shingle"] for r in often], np.int64).view(np.uint64)
     rank = np.arange(len(often))[::-1]
     order = np.argsort(known)
