@@ -53,3 +53,13 @@ def test_stages_stand_odd_rows_and_empty_tables(spark, tmp_path):
             left = rows.count()
             if name != "sentencepiece":
                 assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_near_copies_of_the_stage_are_on_five_words_and_four_fifths(spark):
+    base = [f"w{i}" for i in range(104)]
+    texts = [base, base + [f"x{i}" for i in range(20)], base + [f"y{i}" for i in range(30)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = {i for i, _, c in components(rows, 5, 80) if i == c}
+    assert want == {0, 2} and {i for i, _, c in components(rows) if i == c} == {0, 1, 2}
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, SF).collect()} == want
