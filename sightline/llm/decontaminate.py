@@ -11,7 +11,8 @@ The fingerprints of the benchmark are a stated query set: they are taken in bloc
 any size works, with one scan of the documents a block.
 
 Defined results: null or empty text has no words and no hits; empty items and items with a null
-text match nothing; items with a null id are left out; equal items each count.
+text match nothing; items with a null id are left out; equal items each count, rows with one id are
+one item.
 """
 
 from __future__ import annotations
@@ -94,9 +95,9 @@ class Block:
                 np.add.at(target, at + n, -1)
             size = b - a
             of = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            pairs.append(np.stack([np.repeat(row[at], size), owner[of]], 1))
+            pairs.append(np.stack([np.repeat(row[at], size), self.ids[owner[of]]], 1))
         both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        return np.cumsum(cover)[: len(h)] > 0, np.cumsum(long_cover)[: len(h)] > 0, both[:, 0], self.ids[both[:, 1]]
+        return np.cumsum(cover)[: len(h)] > 0, np.cumsum(long_cover)[: len(h)] > 0, both[:, 0], both[:, 1]
 
 
 def words_hash(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:

@@ -74,3 +74,11 @@ def test_excised_text_has_no_whole_window(spark):
     clean = {i for i, _, n, _ in brute(rows(), [ITEMS[0], ITEMS[5]], 8) if n == 0}
     before = {(r.doc_id, r.text) for r in docs.collect() if r.doc_id in clean}
     assert before == {(r.doc_id, r.text) for r in done.collect() if r.doc_id in clean}
+
+
+def test_rows_with_one_id_are_one_item(spark):
+    items = [*ITEMS, ITEMS[5], ITEMS[0], (5, filler(20, 50))]
+    want = brute(rows(), items, 8)
+    docs = odd_table(spark, rows())
+    assert got(decontaminate(docs, table(spark, items))) == want
+    assert got(decontaminate(docs, table(spark, items), block_bytes=40)) == want
