@@ -1,10 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The units are characters, of order `ORDER`. The model is trained on all
-trusted texts but a fifth, from which the bars are taken. Each n-gram
-has a slot by its hash, out of a fixed number for each order, so the model has a proven size:
-n-grams that share a slot share its count. Counts are summed over the cluster by slot, in shards:
-each task first adds up its own. Lower orders count in how many different contexts an n-gram stands;
+trusted texts but a fifth, from which the bars are taken. The n-grams of the highest order are
+counted exactly, as characters, and summed over the cluster; there are as many as the trusted text
+has. All else follows from them: lower orders count in how many different contexts an n-gram stands;
 the three discounts of each order come from its counts of counts.
 
 A text's perplexity is that of its characters. It is kept if that is within the quantile that its
@@ -14,9 +13,11 @@ characters have no perplexity and are not kept.
 Training needs the trusted rows' texts. Before the join that finds them, a fixed-size bit filter of
 their ids lets most of the other texts stay where they are; the join after it is exact.
 
-Why slots and not a join of every document's n-grams with the counts: each text holds several hundred
-different n-grams of each order, some hundred bytes of shuffle for each kilobyte of text and order
-even when packed, which is beyond the disk budget this operator has (1.5 x input).
+Why a broadcast and not a join of every document's n-grams with the counts: each text holds several
+hundred different n-grams of each order, some hundred bytes of shuffle for each kilobyte of text and
+order even when packed, which is beyond the disk budget this operator has (1.5 x input). So the model
+has no proven size: the driver and every Python worker hold all n-grams of the trusted text, 16 bytes
+an n-gram of any order and 32 to 64 more where texts are scored.
 
 Defined results: null and empty texts are not kept; rows with a null language are judged by the
 quantile over all languages; repeated rows of `trusted` count once; with nothing to train on every
@@ -34,9 +35,11 @@ from . import text as tx
 from .scratch import extended, materialize
 
 ORDER = 5
-#: Slots of each order, as a power of two.
-SLOT_BITS = 19
-SLOTS = 1 << SLOT_BITS
+#: Bits of a character (or mark) in an n-gram: three characters in a high word, two in a low one.
+BITS = np.uint64(21)
+CHAR, PAIR = np.uint64((1 << 21) - 1), np.uint64((1 << 42) - 1)
+#: Characters that there may be: what is under the lowest order is spread evenly over them.
+VOCABULARY = 0x110000
 #: Share of a language's trusted texts that is kept.
 QUANTILE = 0.995
 #: One in so many trusted texts is not trained on; the quantiles come from these, as a model knows its
@@ -59,18 +62,34 @@ def symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, shifted
 
 
-def slots(points: np.ndarray) -> list[np.ndarray]:
-    """Of each order from 1, the slot of the n-gram that ends at each place (from ORDER - 1 on)."""
+def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """High and low word of the n-gram of order ORDER that ends at each place (from ORDER - 1 on)."""
     n = len(points) - ORDER + 1
-    out, value = [], np.zeros(n, np.uint64)
-    step = np.uint64(0x9E3779B97F4A7C15)
+    a, b, c, d, e = (points[i : i + n] for i in range(ORDER))
+    return (a << (BITS + BITS)) | (b << BITS) | c, (d << BITS) | e
+
+
+def ending(high: np.ndarray, low: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last n characters of n-grams of at least that order."""
+    if n <= 2:
+        return np.zeros(len(low), np.uint64), low if n == 2 else low & CHAR
+    return high if n == 5 else high & (PAIR if n == 4 else CHAR), low
+
+
+def hashed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """64 bits for an n-gram of any order, never 0."""
     with np.errstate(over="ignore"):
-        power = np.uint64(1)
-        for k in range(ORDER):
-            value = value + (points[ORDER - 1 - k : ORDER - 1 - k + n] * np.uint64(0xD6E8FEB86659FD93) ^ (points[ORDER - 1 - k : ORDER - 1 - k + n] >> np.uint64(3))) * power
-            power = power * step
-            out.append((tx.mix(value + np.uint64(k)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
-    return out
+        return np.maximum(tx.mix(tx.mix(high + np.uint64(1)) + low), np.uint64(1))
+
+
+def summed(high: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams with the sums of their counts."""
+    key = hashed(high, low)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+    at = order[first]
+    return high[at], low[at], np.add.reduceat(count[order], first) if len(first) else count
 
 
 def real_places(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -81,68 +100,90 @@ def real_places(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _count(batches):
-    """(order, slot, context slot, slot of the n-gram without its first, count), added up by batch."""
+    """(high, low, count) of n-grams of order ORDER, added up by batch."""
     for batch in batches:
-        total = [np.zeros(SLOTS, np.int64) for _ in range(ORDER)]
-        context = [np.zeros(SLOTS, np.int32) for _ in range(ORDER)]
-        suffix = [np.zeros(SLOTS, np.int32) for _ in range(ORDER)]
+        parts = []
         raw, offsets = tx.utf8(batch.column(0))
         for lo, hi in tx.chunks(offsets):
             points, bounds = symbols(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             if len(points) < ORDER:
                 continue
-            on = np.flatnonzero(real_places(points, bounds))
-            every = slots(points)
-            for k in range(ORDER):
-                s = every[k][on]
-                total[k] += np.bincount(s, minlength=SLOTS)
-                if k:
-                    suffix[k][s] = every[k - 1][on]
-                    # The context ends one place earlier; before the first character it is all marks.
-                    context[k][s] = np.concatenate(([0], every[k - 1]))[on] if len(on) else 0
-        for k in range(ORDER):
-            s = np.flatnonzero(total[k])
-            if len(s):
-                yield pa.RecordBatch.from_pydict({"n": np.full(len(s), k + 1, np.int32), "slot": s.astype(np.int32), "context": context[k][s], "suffix": suffix[k][s], "count": total[k][s]})
+            on = real_places(points, bounds)
+            high, low = grams(points)
+            parts.append(summed(high[on], low[on], np.ones(int(on.sum()), np.int64)))
+        if parts:
+            high, low, count = summed(*(np.concatenate(x) for x in zip(*parts)))
+            yield pa.RecordBatch.from_pydict({"high": tx.signed(high), "low": tx.signed(low), "count": count})
 
 
 class Model:
-    """alpha[k][slot]: discounted share; gamma[k][context slot]: weight of the lower order."""
-
-    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.alpha, self.gamma = [], []
-        types = {k: counts[k] for k in counts}
-        for n in range(1, ORDER + 1):
-            slot, context, suffix, count = types.get(n, (np.zeros(0, np.int64),) * 4)
-            if n == ORDER:
-                a = count.astype(np.float64)
-            else:
-                above = types.get(n + 1, (np.zeros(0, np.int64),) * 4)[2]
-                kinds = np.bincount(above, minlength=SLOTS)
-                a = np.maximum(kinds[slot], 1).astype(np.float64)
+    """Of each n-gram, of any order, alpha: its discounted share among those with its context; and
+    gamma: the weight, after it, of the lower order. From the distinct n-grams of order ORDER."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, count: np.ndarray):
+        self.seen = len(count) > 0
+        shares, weights = [], []
+        for n in range(ORDER, 0, -1):
+            if n < ORDER:
+                high, low, count = summed(*ending(high, low, n), np.ones(len(low), np.int64))
+            a = count.astype(np.float64)
             size = [float((a == k).sum()) for k in (1, 2, 3, 4)]
             y = size[0] / (size[0] + 2 * size[1]) if size[0] else 0.5
             discount = [0.0] + [min(max(k - (k + 1) * y * size[k] / size[k - 1], 0.05), k - 0.05) if size[k - 1] and size[k] else 0.5 for k in (1, 2, 3)]
             cut = np.array(discount)[np.minimum(a, 3).astype(int)]
-            group = context if n > 1 else np.zeros(len(slot), np.int64)
-            total = np.bincount(group, a, SLOTS)
-            left = np.bincount(group, cut, SLOTS)
-            alpha = np.zeros(SLOTS, np.float32)
-            alpha[slot] = (a - cut) / np.maximum(total[group], 1e-9)
-            gamma = np.ones(SLOTS, np.float32)
-            some = total > 0
-            gamma[some] = left[some] / total[some]
-            self.alpha.append(alpha)
-            self.gamma.append(gamma)
-        self.seen = bool(counts)
+            contexts, group = np.unique(hashed(high >> BITS, (low >> BITS) | ((high & CHAR) << BITS)), return_inverse=True)
+            total = np.bincount(group, a, len(contexts))
+            shares.append((hashed(high, low), (a - cut) / total[group]))
+            weights.append((contexts, np.bincount(group, cut, len(contexts)) / total))
+        self.keys = np.unique(np.concatenate([k for k, _ in shares + weights]))
+        self.alpha, self.gamma = np.zeros(len(self.keys), np.float32), np.ones(len(self.keys), np.float32)
+        for pairs, out in ((shares, self.alpha), (weights, self.gamma)):
+            for k, x in pairs:
+                out[np.searchsorted(self.keys, k)] = x
+        self.table = None
+
+    def __getstate__(self):
+        return vars(self) | {"table": None}
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+        """Keys by place, (alpha, gamma) by place, and the shift that gives a key's first place; a key
+        stands there or after it, with no empty place between."""
+        bits = max(4, (2 * len(self.keys)).bit_length())
+        shift, mask = np.uint64(64 - bits), (1 << bits) - 1
+        keys, values = np.zeros(1 << bits, np.uint64), np.zeros((1 << bits, 2), np.float32)
+        values[:, 1] = 1
+        left, at = np.arange(len(self.keys)), (self.keys >> shift).astype(np.int64)
+        while len(left):
+            free = keys[at] == 0
+            keys[at[free]] = self.keys[left[free]]
+            mine = keys[at] == self.keys[left]
+            values[at[mine], 0], values[at[mine], 1] = self.alpha[left[mine]], self.gamma[left[mine]]
+            left, at = left[~mine], (at[~mine] + 1) & mask
+        return keys, values, shift
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """(alpha, gamma) of each n-gram; (0, 1) of those that are not known."""
+        if self.table is None:
+            self.table = self._table()
+        keys, values, shift = self.table
+        at = (key >> shift).astype(np.int64)
+        met = keys[at]
+        left = np.flatnonzero((met != key) & (met != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(keys) - 1)
+            met = keys[at[left]]
+            left = left[(met != key[left]) & (met != 0)]
+        return values[at]
 
     def log_likelihood(self, points: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each place from ORDER - 1 on."""
-        every = slots(points)
-        p = self.alpha[0][every[0]] + self.gamma[0][0] / np.float32(SLOTS)
-        for k in range(1, ORDER):
-            context = np.concatenate(([0], every[k - 1]))[: len(p)]
-            p = self.alpha[k][every[k]] + self.gamma[k][context] * p
+        high, low = grams(np.concatenate((np.ones(1, np.uint64), points)))  # and the place before
+        none = np.zeros(1, np.uint64)
+        weight, p = self.find(hashed(none, none))[0, 1], np.float32(1 / VOCABULARY)
+        for n in range(1, ORDER + 1):
+            found = self.find(hashed(*ending(high, low, n)))
+            p = found[1:, 0] + weight * p
+            weight = found[:-1, 1]
         return np.log(np.maximum(p, 1e-12))
 
 
@@ -196,18 +237,19 @@ def train(docs: DataFrame, trusted: DataFrame) -> Model:
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     likely = texts.mapInArrow(_likely(spark.sparkContext.broadcast(bits)), "doc_id long, text string")
     # Labels grow with the corpus: the same kind of join at every size.
-    counted = likely.join(ids.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_count, "n int, slot int, context int, suffix int, count long")
-    summed = counted.groupBy("n", "slot").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("count").alias("count"))
-    shard = F.shiftright(F.col("slot"), 13)
-    packed = summed.groupBy("n", shard.alias("shard")).applyInArrow(_pack, "n int, slots binary, contexts binary, suffixes binary, counts binary")
-    counts: dict[int, list] = {}
-    for r in packed.toLocalIterator():  # a fixed number of shards of a fixed size
-        counts.setdefault(r["n"], []).append(tuple(np.frombuffer(bytes(r[c]), t) for c, t in (("slots", np.int32), ("contexts", np.int32), ("suffixes", np.int32), ("counts", np.int64))))
-    return Model({n: tuple(np.concatenate(x).astype(np.int64) for x in zip(*parts)) for n, parts in counts.items()})
-
-
-def _pack(table: pa.Table) -> pa.Table:
-    return pa.table({"n": table["n"][:1], **{name: [np.asarray(table[c]).tobytes()] for name, c in (("slots", "slot"), ("contexts", "context"), ("suffixes", "suffix"), ("counts", "count"))}})
+    counted = likely.join(ids.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_count, "high long, low long, count long")
+    whole = counted.groupBy("high", "low").agg(F.sum("count").alias("count"))
+    parts = [(np.zeros(0, np.int64),) * 3]
+    for r in whole.mapInArrow(_pack, "high binary, low binary, count binary").toLocalIterator():
+        parts.append(tuple(np.frombuffer(bytes(x), np.int64) for x in r))
+    high, low, count = (np.concatenate(x) for x in zip(*parts))
+    return Model(high.view(np.uint64), low.view(np.uint64), count)
+
+
+def _pack(batches):
+    """Each batch as one row."""
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({n: [np.asarray(batch.column(n)).tobytes()] for n in ("high", "low", "count")})
 
 
 def classify_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, with_text: bool = True) -> DataFrame:
