@@ -2,7 +2,7 @@
 
 A page is read into its leaf blocks, the stretches of text between the edges of block elements. A
 bidirectional LSTM in NumPy reads each page's whole sequence of blocks; a block's vector holds its
-tag path (elements, classes and ids), its hashed words, and its length, links and place. Each block
+tag path (elements, classes and ids), all its hashed words, and its length, links and place. Each block
 is labelled from both directions, so from the whole page. The network is trained on made-up pages
 (page_generator) when the model is fitted; it has no other source and a fixed size.
 
@@ -143,7 +143,6 @@ class Reader:
         out = np.zeros((first[-1], self.width), np.float32)
         known, base = self.tokens, len(self.tokens)
         rows, cols, at = [], [], 0
-        wr, wc, wv = [], [], []
         numbers = np.zeros((first[-1], 9), np.float32)
         slot = self.slots
         for page in pages:
@@ -155,22 +154,19 @@ class Reader:
                         rows.append(at)
                         cols.append(c)
                 words = text.lower().split(" ")
-                sample = words if len(words) <= 12 else words[:6] + words[-6:]
-                weight = 1 / len(sample) ** 0.5
-                for w in sample:
+                mine = []
+                for w in words:
                     s = slot.get(w)
                     if s is None:
                         if len(slot) > 200_000:
                             slot.clear()
                         s = slot[w] = zlib.crc32(w.encode()) % WORD_SLOTS
-                    wr.append(at)
-                    wc.append(base + s)
-                    wv.append(weight)
+                    mine.append(s)
+                out[at, base : base + WORD_SLOTS] = np.bincount(mine, minlength=WORD_SLOTS) / len(words) ** 0.5
                 size = len(text)
                 numbers[at] = (np.log1p(size) / 5, min(1.0, linked / size), len(words) < 4, text[-1] in ".!?", min(depth, 12) / 12, k / n, 1 - k / n, k == 0, np.log1p(n) / 5)
                 at += 1
         out[rows, cols] = 1
-        np.add.at(out, (wr, wc), np.array(wv, np.float32))
         out[:, base + WORD_SLOTS :] = numbers
         return out, first
 

@@ -155,6 +155,19 @@ def test_page_table(spark, labeller):
     assert extract_text(df.where("false"), labeller).count() == 0
 
 
+def test_words_in_the_middle_of_a_block_are_read(labeller):
+    ends = "one two three four five six", "seven eight nine ten eleven twelve"
+    a, b = (f"{ends[0]} {m} {ends[1]}" for m in ("cookies sponsored reply", "gardens blossomed early"))
+    assert len(a) == len(b)
+    x, _ = labeller.reader.vectors([[(("tag:p",), t, 0, 1)] for t in (a, b)])
+    base = len(labeller.reader.tokens)
+    assert not np.allclose(x[0], x[1])
+    from zlib import crc32
+
+    want = np.bincount([crc32(w.encode()) % 48 for w in a.split()], minlength=48) / len(a.split()) ** 0.5
+    assert np.allclose(x[0, base : base + 48], want)
+
+
 def test_quality_counts_every_n_gram_of_much_text(spark):
     from collections import Counter, defaultdict
 
