@@ -299,12 +299,13 @@ def percentile_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seeded_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NumPy's generator has no SQL form; tests hold it against a plain loop."""
+    """NumPy's generator has no SQL form; tests hold it against a plain loop. Every slice, threshold
+    and replicate, as in the evaluation report."""
     images = v.images(spark, sf_dir)
-    facts = ma.match_facts(_matched(spark, sf_dir, (0.5, 0.75), ("all",)), ["severity"], (0.5, 0.75), ("all",))
-    counts = ma.gt_counts(v.gt_boxes(spark, sf_dir), ("all",))
-    overall = images.select(F.lit("overall").alias("axis"), F.lit("all").alias("bucket"), "image_id")
-    return bs.bootstrap_slices(me.sliced(facts, images).where("axis = 'overall'"), me.sliced(counts, images).where("axis = 'overall'"), overall, replicates=100)
+    facts = ma.match_facts(_matched(spark, sf_dir), ["severity"])
+    counts = ma.gt_counts(v.gt_boxes(spark, sf_dir))
+    members = me.sliced(images.select("image_id").withColumn("area_range", F.explode(F.array(*map(F.lit, ma.RANGES)))), images).select("axis", "bucket", "image_id")
+    return bs.bootstrap_slices(me.sliced(facts, images), me.sliced(counts, images), members)
 
 
 # Reports and decisions, over metrics derived from the customers of each region.

@@ -155,3 +155,39 @@ def test_matcher_against_a_plain_loop(seed):
                     want = ma.LEFT_OUT if ma.covered(d[i : i + 1], r)[0] >= 0.5 else ma.MISS
                 assert got[i, k] == want
             k += 1
+
+
+def test_seeded_bootstrap_query_is_whole_and_as_a_plain_loop(spark, tmp_path):
+    from collections import defaultdict
+
+    from sightline.plans import views as v
+    from sightline.plans.queries import QUERIES
+
+    rng = np.random.default_rng(5)
+    spark.createDataFrame([(i, float(rng.integers(0, 500))) for i in range(400)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.axis, r.bucket, r.metric, r.class_id): (r.ci_low, r.ci_high) for r in QUERIES["seeded_bootstrap_ci"](spark, str(tmp_path)).collect()}
+    images = v.images(spark, str(tmp_path))
+    slices = {("overall", "all"), *(("weather", f"w{i}") for i in range(4)), *(("camera", f"c{i}") for i in range(7)), *(("scale", s) for s in ma.RANGES if s != "all")}
+    counts = me.sliced(ma.gt_counts(v.gt_boxes(spark, str(tmp_path))), images).collect()
+    assert {k[:2] for k in got} == {(r.axis, r.bucket) for r in counts} <= slices and {"overall", "weather", "camera", "scale"} == {k[0] for k in got}
+
+    matched = ma.match(v.detections(spark, str(tmp_path)), v.gt_boxes(spark, str(tmp_path)), v.regions(spark, str(tmp_path)))
+    facts = [r for r in me.sliced(ma.match_facts(matched), images).collect() if r.bucket == "w0"]
+    ids = sorted(r.image_id for r in images.collect() if r.weather == "w0")
+    n_gt, dets_of = defaultdict(int), defaultdict(list)
+    for r in counts:
+        if r.bucket == "w0":
+            n_gt[r.class_id, ids.index(r.image_id)] += r.n_gt
+    for r in facts:
+        dets_of[r.class_id, r.iou_thr].append((-r.score, ids.index(r.image_id), r.det_ordinal, int(r.is_hit)))
+    known, values = {}, []
+    for w in map(tuple, bs.multiplicities(len(ids), 2000, 0)):
+        if w not in known:
+            aps = []
+            for c in sorted({c for c, _ in n_gt}):
+                total = sum(w[i] * n_gt[c, i] for i in range(len(ids)))
+                own = [brute_ap([(-k, d[3]) for k, d in enumerate(d for d in sorted(dets_of[c, t]) for _ in range(w[d[1]]))], total) for t in ma.THRESHOLDS] if total else []
+                aps += [np.mean(own)] if own else []
+            known[w] = np.mean(aps)
+        values.append(known[w])
+    assert np.allclose(got["weather", "w0", "map", None], np.percentile(values, [2.5, 97.5]), atol=1e-9)
