@@ -5,10 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from sightline.llm.html_extract import Labeller, extract_text, leaf_blocks
 from sightline.llm.language_id import Model as Languages
 from sightline.llm.language_id import identify_languages, viterbi
-from sightline.llm.page_generator import pages
 from sightline.llm.quality_lm import classify_quality
 from sightline.llm.toxicity import Model as Toxicity
 from sightline.llm.toxicity import encode, score_toxicity, word_values
@@ -121,53 +119,6 @@ def test_quality_keeps_what_sounds_like_the_trusted(spark):
     assert all(r.kept == bool(r.text) for r in untrained)
 
 
-@pytest.fixture(scope="module")
-def labeller():
-    return Labeller(train_pages=400, epochs=6)
-
-
-def test_pages_of_unseen_layouts(labeller):
-    right = total = 0
-    for page, labels in pages(150, seed=78):
-        blocks, good = leaf_blocks(page), dict(labels)
-        p = labeller.label([blocks])[0]
-        total += len(blocks)
-        right += sum((q >= 0.5) == bool(good[t]) for (_, t, *_), q in zip(blocks, p))
-    assert right / total > 0.96
-
-
-PAGE = """<!DOCTYPE html><html><head><title>no</title><script>var t="</p>";x(1)</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
-<div class="ad">Buy now</div><article><h1>A  title &amp; more</h1><p><b>First line of
-text.<br><p>Second &lt;one&gt; a < b.</p><!-- <p>hidden</p> --><p>Third</article><section class="comments"><p>Great post, thanks a lot for all of this!</p></section><footer>&copy; host</footer></body></html>"""
-
-
-def test_one_page(labeller):
-    assert labeller.texts([PAGE]) == ["A title & more First line of text. Second <one> a < b. Third"]
-
-
-def test_page_table(spark, labeller):
-    rows = [(1, "u", PAGE), (2, "u", None), (3, None, ""), (4, "u", "<p"), (None, "u", "plain < words & no markup"), (5, "u", PAGE), (6, "u", "<div>" * 3000 + "deep"), (7, "u", "<p class='x>unclosed quote")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' as text")
-    out = extract_text(df, labeller).collect()
-    assert len(out) == len(rows) and all(r.text is not None for r in out)
-    assert [r.text for r in out if r.page_id in (2, 3)] == ["", ""]
-    assert len({r.text for r in out if r.page_id in (1, 5)}) == 1
-    assert extract_text(df.where("false"), labeller).count() == 0
-
-
-def test_words_in_the_middle_of_a_block_are_read(labeller):
-    ends = "one two three four five six", "seven eight nine ten eleven twelve"
-    a, b = (f"{ends[0]} {m} {ends[1]}" for m in ("cookies sponsored reply", "gardens blossomed early"))
-    assert len(a) == len(b)
-    x, _ = labeller.reader.vectors([[(("tag:p",), t, 0, 1)] for t in (a, b)])
-    base = len(labeller.reader.tokens)
-    assert not np.allclose(x[0], x[1])
-    from zlib import crc32
-
-    want = np.bincount([crc32(w.encode()) % 48 for w in a.split()], minlength=48) / len(a.split()) ** 0.5
-    assert np.allclose(x[0, base : base + 48], want)
-
-
 def test_quality_counts_every_n_gram_of_much_text(spark):
     from collections import Counter, defaultdict
 
