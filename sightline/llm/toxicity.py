@@ -4,23 +4,28 @@ The kernel of two words sums, over all common subsequences of three symbols, dec
 places, within a span of `SPAN` symbols, divided by norms that depend on the words' lengths. Gaps
 make it tolerate inserted characters; marks between letters are dropped, letters written as digits
 are read as letters, and runs of single letters are read as one word. A word's start is a symbol.
-
-Training takes a bounded sample of labelled texts, whole. Words in sentences of toxic texts that
-stand out against sentences of the other texts (a likelihood ratio over words and their beginnings)
-are the positive examples, joined by gapped and inserted-character forms of themselves; words of the
-other texts are the negative ones. Landmarks are drawn from both, the negative ones nearest to the
-positive. The machine is linear over the landmarks, so all of it folds into one weight for each
-three-symbol subsequence. A text's score is a logistic function, fitted on the sampled texts, of its
-highest word and of the number of words over the margin.
+Symbols come from code points, the same way in training and in scoring: accents are taken off, a-z have
+symbols of their own and the letters of other scripts share `SYMBOLS` less 27, neighbours of an alphabet
+never the same one. The kernel of two sentences sums that of their words.
+
+Training takes a bounded sample of labelled texts, whole, cut into sentences (at most `SENTENCE` words
+each); copies of a sentence count once. Sentences of texts of class 0 are negative. Of a text of class 1
+some sentence is positive, which one is not known: the machine is trained with the sentences that say
+most, and trained anew with the ones it then takes for positive, `ROUNDS` times, each time with the
+negative ones that came nearest. Landmarks are the words that set the sentences of the two classes apart
+most, and common ones. The machine is linear over the landmarks, so all of it folds into one weight for
+each three-symbol subsequence. A text's score is a logistic function, fitted on the sampled texts, of its
+highest sentence, its highest word and the number of words over the margin.
 
 Defined results: null and empty texts have no words and get the score of a text without a suspect
-word; if the sample lacks a class, every score is the share of class 1 in it, 0 without rows. Rows
-are worked on one by one, texts whole.
+word; if the sample lacks a class, every score is the share of class 1 in it, 0 without rows; a doc_id
+labelled both ways counts as toxic, repeated labels once. Rows are worked on one by one, texts whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,40 +39,55 @@ from .scratch import extended
 #: Labelled texts of each class that are sampled.
 TOXIC_ROWS, OTHER_ROWS = 1000, 2500
 SPAN, DECAY = 7, 0.6
-LANDMARKS = 256
-#: Rounds of training, each with the words that the last one took for positive.
-ROUNDS = 3
-#: a-z are 0-25, then the word's start and any other letter.
-START, OTHER, SYMBOLS = 26, 27, 28
+LANDMARKS = 384
+#: Rounds of training, negative sentences kept at random for each, and the nearest that each adds.
+ROUNDS, EASY, HARD = 4, 15_000, 6_000
+#: a-z are 0-25, then the word's start, then all other letters.
+START, OTHER, SYMBOLS = 26, 27, 128
+#: Code points that are looked up; those beyond have a symbol by their number.
+PLANE = 0x10000
 #: Symbols of a word that are looked at together; longer words are cut into overlapping parts.
 LONGEST = 28
+#: Words of a sentence; a longer one is cut.
+SENTENCE = 12
 TRIPLES = [(0, j, k) for k in range(2, SPAN) for j in range(1, k)]
 #: Characters read as letters.
-LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
+LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+#: Where values end that a text's logistic function is given.
+LEAST, MOST, MANY = -3.0, 2.0, 50
 
 
+@cache
 def symbol_table() -> np.ndarray:
-    """Symbol of each byte; 255: dropped."""
-    out = np.full(256, 255, np.uint8)
+    """Symbol of each code point; 255: dropped."""
+    out = np.full(PLANE, 255, np.uint8)
+    for c in range(0xAA, PLANE):
+        if 0xD800 <= c < 0xE000:
+            continue
+        base = unicodedata.normalize("NFKD", chr(c).lower())[0]
+        if unicodedata.category(base)[0] == "L":
+            p = ord(base)
+            out[c] = p - 97 if 97 <= p < 123 else OTHER + p % (SYMBOLS - OTHER)
     for i in range(26):
         out[97 + i] = out[65 + i] = i
     for k, v in LOOKALIKES.items():
         out[ord(k)] = ord(v) - 97
-    out[0xC0:] = OTHER  # the first byte of a character beyond ASCII; the rest are dropped
     return out
 
 
-BYTE_SYMBOL = symbol_table()
-
-
 def word_symbols(words: tx.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, offsets) of the chosen words, each begun by START."""
     lens = words.ends[which] - words.starts[which]
     before = np.concatenate(([0], np.cumsum(lens)))
     at = np.repeat(words.starts[which] - before[:-1], lens) + np.arange(before[-1])
-    s = BYTE_SYMBOL[words.data[at]]
+    raw = words.data[at]
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[before]  # where each word's code points begin
+    s = symbol_table()[np.minimum(points, PLANE - 1)]
+    far = points >= PLANE
+    s[far] = OTHER + points[far] % (SYMBOLS - OTHER)
     keep = s != 255
-    kept = np.concatenate(([0], np.cumsum(keep)))[before]
+    kept = np.concatenate(([0], np.cumsum(keep)))[heads]
     offsets = kept + np.arange(len(kept))
     out = np.full(offsets[-1], START, np.uint8)
     inside = np.ones(len(out), bool)
@@ -76,6 +96,15 @@ def word_symbols(words: tx.Words, which: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, offsets
 
 
+def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    words = tx.find_words(*tx.utf8(pa.array(strings, pa.string())), tx.SPACES, False)
+    return word_symbols(words, np.arange(len(words.starts)))
+
+
+def packed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], np.cumsum([len(s) for s in words])))
+
+
 def parts(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, and overlapping parts of long words: (word, start, end)."""
     sizes = np.diff(offsets)
@@ -106,44 +135,96 @@ def norm(n: int) -> float:
 NORMS = [norm(n) for n in range(LONGEST + 1)]
 
 
-def features(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Dense vectors of few words, in the kernel's feature space."""
-    out = np.zeros((len(offsets) - 1, SYMBOLS**3), np.float32)
-    for w in range(len(out)):
-        own = symbols[offsets[w] : offsets[w + 1]][:LONGEST]
-        for key, weight in triples(own[None, :]):
-            out[w, key[0]] += weight
-        out[w] /= NORMS[len(own)]
-    return out
-
-
-def projected(strings: list[str], fold: np.ndarray) -> np.ndarray:
-    """Vectors of words over the landmarks; the kernel's feature space holds few words at a time."""
-    return np.vstack([np.zeros((0, fold.shape[1]), np.float32), *(features(*encode(strings[i : i + 128])) @ fold for i in range(0, len(strings), 128))])
-
-
-def word_values(symbols: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    """The machine's value of each word: of its highest part."""
+def by_length(symbols: np.ndarray, offsets: np.ndarray, step: int = 50_000):
+    """Parts of words, some of one length at a time: (words, parts' numbers, symbols as rows, norm)."""
     word, lo, hi = parts(symbols, offsets)
     sizes = hi - lo
-    value = np.full(len(word), bias, np.float32)
-    for n in np.unique(sizes):
-        if n < 3:
-            continue
+    for n in np.unique(sizes[sizes >= 3]):
         rows = np.flatnonzero(sizes == n)
-        for a in range(0, len(rows), 50_000):
-            own = rows[a : a + 50_000]
-            total = np.zeros(len(own), np.float32)
-            for key, weight in triples(symbols[lo[own][:, None] + np.arange(n)[None, :]]):
-                total += np.float32(weight) * weights[key]
-            value[own] += total / NORMS[n]
+        for a in range(0, len(rows), step):
+            own = rows[a : a + step]
+            yield word[own], own, symbols[lo[own][:, None] + np.arange(n)[None, :]], NORMS[n]
+
+
+def features(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of words in the kernel's feature space: (word, key, value) of what is not zero."""
+    word, key, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)]
+    for w, _, block, scale in by_length(symbols, offsets):
+        for k, weight in triples(block):
+            word.append(w)
+            key.append(k)
+            value.append(np.full(len(w), weight / scale))
+    word, key, value = np.concatenate(word), np.concatenate(key), np.concatenate(value)
+    both, at = np.unique(word * SYMBOLS**3 + key, return_inverse=True)
+    return both // SYMBOLS**3, (both % SYMBOLS**3).astype(np.int32), np.bincount(at, value, len(both))
+
+
+class Landmarks:
+    """The kernel of any words with some chosen ones."""
+
+    def __init__(self, words: list[bytes]):
+        row, key, value = features(*packed(words))
+        self.keys, at = np.unique(key, return_inverse=True)
+        self.table = np.zeros((len(self.keys) + 1, len(words)), np.float32)
+        self.table[at, row] = value
+        self.place = np.full(SYMBOLS**3, len(self.keys), np.int32)
+        self.place[self.keys] = np.arange(len(self.keys))
+        own, vector = np.linalg.eigh((self.table.T @ self.table).astype(np.float64))
+        on = own > 1e-6 * own.max()
+        #: From kernel values to coordinates in which the landmarks' kernel is the dot product.
+        self.fold = (vector[:, on] / np.sqrt(own[on])).astype(np.float32)
+
+    def kernel(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(words, landmarks); a long word's is that of all its parts."""
+        out = np.zeros((len(offsets) - 1, self.table.shape[1]), np.float32)
+        for word, _, block, scale in by_length(symbols, offsets, 4096):
+            total = np.zeros((len(word), out.shape[1]), np.float32)
+            for key, weight in triples(block):
+                at = self.place[key]
+                on = np.flatnonzero(at < len(self.keys))
+                total[on] += self.table[at[on]] * np.float32(weight)
+            np.add.at(out, word, total / np.float32(scale))
+        return out
+
+    def weights(self, w: np.ndarray) -> np.ndarray:
+        """A linear machine over the coordinates as one weight for each subsequence."""
+        out = np.zeros(SYMBOLS**3, np.float32)
+        out[self.keys] = self.table[:-1] @ (self.fold @ w).astype(np.float32)
+        return out
+
+
+def word_values(symbols: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What each word adds to its sentence: its highest part; 0 for words without subsequences."""
     out = np.full(len(offsets) - 1, -np.inf, np.float32)
-    np.maximum.at(out, word, value)
+    for word, _, block, scale in by_length(symbols, offsets):
+        total = np.zeros(len(word), np.float32)
+        for key, weight in triples(block):
+            total += np.float32(weight) * weights[key]
+        np.maximum.at(out, word, total / np.float32(scale))
+    out[np.isneginf(out)] = 0
     return out
 
 
+def sentences(words: tx.Words) -> np.ndarray:
+    """First word of each sentence: a text's first, the first after a full stop or a line's end, and of
+    what is longer than SENTENCE words every so many."""
+    n = len(words.starts)
+    if not n:
+        return np.zeros(0, np.int64)
+    lines = np.concatenate(([0], np.cumsum(words.data == 10)))
+    begins = np.zeros(n, bool)
+    begins[words.first[:-1][words.counts > 0]] = True
+    begins[1:] |= lines[words.starts[1:]] > lines[words.starts[:-1]]
+    last = words.data[words.ends[:-1] - 1]
+    begins[1:] |= (last == ord(".")) | (last == ord("!")) | (last == ord("?"))
+    begins[1:] |= (last == 0x82) & (words.ends[:-1] - words.starts[:-1] >= 3) & (words.data[np.maximum(words.ends[:-1] - 2, 0)] == 0x80)
+    head = np.flatnonzero(begins)
+    inside = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
+    return np.flatnonzero(inside % SENTENCE == 0)
+
+
 def spelt_out(words: tx.Words, single: np.ndarray) -> list[tuple[int, str]]:
-    """(row, word) for each run of four or more single letters."""
+    """(first word, word) for each run of four or more single letters of one text."""
     out = []
     row = words.row
     at = np.flatnonzero(single)
@@ -151,158 +232,225 @@ def spelt_out(words: tx.Words, single: np.ndarray) -> list[tuple[int, str]]:
         return out
     for group in np.split(at, np.flatnonzero((np.diff(at) != 1) | (np.diff(row[at]) != 0)) + 1):
         if len(group) >= 4:
-            out.append((int(row[group[0]]), "".join(words.text(w) for w in group)))
+            out.append((int(group[0]), "".join(words.text(w) for w in group)))
     return out
 
 
-def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    words = tx.find_words(*tx.utf8(pa.array(strings, pa.string())), tx.SPACES, True)
-    return word_symbols(words, np.arange(len(words.starts)))
-
-
-def letters_of(word: str) -> str:
-    """The word as the kernel sees it."""
-    return "".join("" if (s := BYTE_SYMBOL[b]) == 255 else chr(97 + s) for b in word.lower().encode())
-
-
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin. The last
+    column of x is 1."""
+    w = np.zeros(x.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(rounds):
-        margin = y * (x1 @ w)
-        on = margin < 1
-        c = cost * weight[on]
-        h = ridge + (x1[on] * c[:, None]).T @ x1[on]
-        new = np.linalg.solve(h, (x1[on] * c[:, None]).T @ y[on])
-        if np.abs(new - w).max() < 1e-6:
+        on = y * (x @ w.astype(x.dtype)) < 1
+        own = x[on] * np.sqrt(cost * weight[on])[:, None].astype(x.dtype)
+        h = ridge + (own.T @ own).astype(np.float64)
+        new = np.linalg.solve(h, own.T @ (y[on] * np.sqrt(cost * weight[on])).astype(x.dtype))
+        if np.abs(new - w).max() < 1e-4 * max(1.0, np.abs(new).max()):
+            w = new
             break
         w = 0.5 * w + 0.5 * new
     return w[:-1], float(w[-1])
 
 
-def word_places(texts: list[str], toxic: list[int]) -> list[Counter]:
-    """Of texts of class 0, and of class 1: between how many different neighbours each word stands,
-    so that copies of a passage count once."""
-    index: dict[str, int] = {"": 0}
-    ids = [np.array([0, *(index.setdefault(w, len(index)) for w in map(letters_of, t.split()) if w), 0], np.uint64) for t in texts]
-    row = np.repeat(np.array(toxic), [len(i) for i in ids])
-    word = np.concatenate(ids)
-    with np.errstate(over="ignore"):
-        place = tx.mix(word + np.roll(word, 1) * tx.WORD_STEP + np.roll(word, -1) * tx.BYTE_STEP)
-    names = list(index)
-    out = []
-    for y in (0, 1):
-        on = np.flatnonzero((row == y) & (word > 0))
-        _, first = np.unique(place[on], return_index=True)
-        count = np.bincount(word[on][first].astype(np.int64), minlength=len(names))
-        out.append(Counter({names[i]: int(count[i]) for i in np.flatnonzero(count)}))
+def telling_words(names: list[bytes], n1: np.ndarray, n0: np.ndarray) -> np.ndarray:
+    """Of each word, in n1 sentences of texts of class 1 and n0 of others, how far it is from chance (a
+    log likelihood ratio) with all words of the same beginning, of four symbols and more; 0 where no
+    beginning stands out more than the best of as many random ones would."""
+    heads: dict[bytes, list[float]] = {}
+    met = np.flatnonzero(n1 > 0)
+    for i in met:
+        for k in range(5, len(names[i]) + 1):
+            c = heads.setdefault(names[i][:k], [0.0, 0.0])
+            c[0] += n1[i]
+    for i in np.flatnonzero(n0 > 0):
+        for k in range(5, len(names[i]) + 1):
+            c = heads.get(names[i][:k])
+            if c is None:
+                break
+            c[1] += n0[i]
+    share = n1.sum() / max(n1.sum() + n0.sum(), 1)
+    bar = np.log(len(heads) + 1) + 3
+    gain = {}
+    for h, (a, b) in heads.items():
+        rate = a / (a + b)
+        if rate > 0.5 + share / 2:
+            g = a * np.log(rate / share) + (b * np.log((1 - rate) / (1 - share)) if b else 0.0)
+            if g > bar:
+                gain[h] = g
+    out = np.zeros(len(names))
+    for i in met:
+        if n1[i] > 2 * n0[i]:
+            out[i] = max((gain.get(names[i][:k], 0.0) for k in range(5, len(names[i]) + 1)), default=0.0)
     return out
 
 
+def summed(z: np.ndarray, used: np.ndarray, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of the vectors of each sentence's words; z has those of the words `used`, in order."""
+    first = np.cumsum(sizes) - sizes
+    words = flat[np.repeat(begin - first, sizes) + np.arange(sizes.sum())]
+    return np.add.reduceat(z[np.searchsorted(used, words)], first, axis=0)
+
+
 class Model:
     """Folded weights of the machine and the logistic function of a text."""
 
     def __init__(self, texts: list[str], toxic: list[int], landmarks: int = LANDMARKS):
         self.prior = float(np.mean(toxic)) if toxic else 0.0
         self.weights: np.ndarray | None = None
-        if len(set(toxic)) < 2:
+        if len(set(toxic)) < 2 or not self._train(texts, np.array(toxic), landmarks):
             return
-        seen = word_places(texts, toxic)
-        heads = [Counter(), Counter()]
-        for y in (1, 0):
-            for w, n in seen[y].items():
-                for k in range(4, len(w) + 1):
-                    if y or w[:k] in heads[1]:
-                        heads[y][w[:k]] += n
-        n1, n0 = (sum(c.values()) for c in (seen[1], seen[0]))
-        share = n1 / max(n1 + n0, 1)
-        bar = np.log(len(heads[1]) + 1) + 3
-
-        def stands_out(head: str) -> bool:
-            a, b = heads[1][head], heads[0][head]
-            rate = a / (a + b)
-            if rate <= share:
-                return False
-            gain = a * np.log(rate / share) + (b * np.log((1 - rate) / (1 - share)) if b else 0.0)
-            return gain > bar and rate > 0.5 + share / 2
-
-        marked = {h for h in heads[1] if stands_out(h)}
-        positive = [w for w, _ in seen[1].most_common() if any(w[:k] in marked for k in range(4, len(w) + 1)) and seen[1][w] > 2 * seen[0][w]][:600]
-        if not positive:
-            return
-        rng = np.random.default_rng(5)
-        bent = []
-        for w in positive[:200]:
-            for _ in range(2):
-                i = int(rng.integers(1, len(w)))
-                bent.append(w[:i] + chr(97 + int(rng.integers(26))) + w[i:])
-        known = set(positive)
-        negative = [w for w in seen[0] if w not in known]
-        sp, op = encode(negative)
-        # Landmarks: the commonest positive words, and negative words: common ones, and those that
-        # the machine so far takes for positive. Then it is trained anew; three times in all.
-        first = features(*encode(positive[: landmarks // 2]))
-        near = word_values(sp, op, first.mean(0), 0.0)
-        hard: dict[int, None] = dict.fromkeys(range(min(2000, len(negative))))
-        for _ in range(ROUNDS):
-            worst = np.argsort(-near, kind="stable")[:1500].tolist()
-            hard.update(dict.fromkeys(worst))
-            chosen = worst[: landmarks - landmarks // 2 - 16] + list(range(min(16, len(negative))))
-            z = np.vstack([first, features(*encode([negative[i] for i in chosen]))])
-            value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
-            on = value > 1e-6 * value.max()
-            fold = z.T @ (vector[:, on] / np.sqrt(value[on])).astype(np.float32)
-            fp, fb, fn = (projected(words, fold) for words in (positive, bent, [negative[i] for i in hard]))
-            x = np.vstack([fp, fb, fn]).astype(np.float64)
-            y = np.concatenate((np.ones(len(fp) + len(fb)), -np.ones(len(fn))))
-            w, self.bias = svm(x, y, np.where(y > 0, len(fn) / max((y > 0).sum(), 1), 1.0))
-            self.weights = (fold @ w).astype(np.float32)
-            near = word_values(sp, op, self.weights, self.bias)
         found = self.measure(pa.array(texts, pa.string()))
         self.center, self.spread = found.mean(0), found.std(0) + 1e-6
-        self.logit = np.zeros(3)
         f = np.hstack([(found - self.center) / self.spread, np.ones((len(found), 1))])
+        self.logit = np.zeros(f.shape[1])
         t = np.array(toxic, float)
         for _ in range(50):  # ridge-penalised Newton steps
             p = 1 / (1 + np.exp(-np.clip(f @ self.logit, -30, 30)))
-            h = (f * (p * (1 - p) + 1e-9)[:, None]).T @ f + 0.05 * np.eye(3)
+            h = (f * (p * (1 - p) + 1e-9)[:, None]).T @ f + 0.05 * np.eye(len(self.logit))
             self.logit += np.linalg.solve(h, f.T @ (t - p) - 0.05 * self.logit)
 
+    def _train(self, texts: list[str], toxic: np.ndarray, landmarks: int) -> bool:
+        # Words by their symbols, so the same however they are spelt; sentences as runs of them.
+        spell: dict[bytes, int] = {}
+        ids, heads, owners, n = [], [], [], 0
+        for lo, _, words in tx.batches_of_words(pa.array(texts, pa.string()), tx.SPACES, False):
+            _, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            symbols, offsets = word_symbols(words, where)
+            raw = symbols.tobytes()
+            known = np.array([spell.setdefault(raw[a:b], len(spell)) for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
+            head = sentences(words)
+            ids.append(known[back].astype(np.int32))
+            heads.append(head + n)
+            owners.append(lo + words.row[head])
+            n += len(back)
+        if not n:
+            return False
+        flat, begin, owner = np.concatenate(ids), np.concatenate(heads), np.concatenate(owners)
+        end = np.append(begin, n)[1:]
+        y = toxic[owner] > 0
+        # Copies of a sentence count once, for class 0 if any stands in a text of it.
+        key = tx.spans(tx.mix(flat.astype(np.uint64) + np.uint64(1)), begin, end)
+        order = np.lexsort((begin, y, key))
+        first = order[np.concatenate(([True], np.diff(key[order]) != 0))]
+        first.sort()
+        sizes, owner, y = (end - begin)[first], owner[first], y[first]
+        flat = flat[np.repeat(begin[first] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        begin = np.cumsum(sizes) - sizes
+        if not y.any() or y.all():
+            return False
+        # In how many sentences of each class a word stands.
+        pair = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(spell) + flat)
+        flat, sizes = (pair % len(spell)).astype(np.int32), np.bincount(pair // len(spell), minlength=len(sizes))
+        begin = np.cumsum(sizes) - sizes
+        n1, n0 = (np.bincount((pair % len(spell))[y[pair // len(spell)] == c], minlength=len(spell)).astype(float) for c in (True, False))
+        del pair, order, key, ids
+        names = list(spell)
+        gain = telling_words(names, n1, n0)
+        symbols, offsets = packed(names)
+        telling = np.flatnonzero(gain > 0)
+        if not len(telling):
+            return False
+        long = np.array([len(s) > 3 for s in names])
+        chosen = telling[np.argsort(-n1[telling], kind="stable")[: landmarks // 2]]
+        common = np.argsort(-np.where(long, n0, 0), kind="stable")[: landmarks // 16]
+        chosen = np.union1d(chosen, common)
+        rng = np.random.default_rng(5)
+        sure = np.flatnonzero(y & (np.maximum.reduceat(gain[flat], begin) > 0))
+        positive = sure
+        negative = np.flatnonzero(~y)
+        easy = negative if len(negative) <= EASY else np.sort(rng.choice(negative, EASY, replace=False))
+        nearest = np.zeros(0, np.int64)
+        for step in range(ROUNDS):
+            marks = Landmarks([names[i] for i in chosen])
+            rows = np.unique(np.concatenate((positive, easy, nearest)))
+            used = np.zeros(len(names), bool)
+            used[flat[np.repeat(begin[rows] - np.cumsum(sizes[rows]) + sizes[rows], sizes[rows]) + np.arange(sizes[rows].sum())]] = True
+            used = np.flatnonzero(used)
+            z = self._project(marks, names, used)
+            chosen_word, bent = self._bent(names, flat, begin, sizes, positive, gain, rng)
+            x = np.ones((len(rows) + len(bent), z.shape[1] + 1), np.float32)
+            for lo in range(0, len(rows), 4000):
+                own = rows[lo : lo + 4000]
+                x[lo : lo + len(own), :-1] = summed(z, used, flat, begin[own], sizes[own])
+            if bent:
+                source = np.array([r for r, _ in chosen_word])
+                x[len(rows) :, :-1] = x[np.searchsorted(rows, source), :-1] - z[np.searchsorted(used, [w for _, w in chosen_word])] + self._project(marks, bent, np.arange(len(bent)))
+            del z
+            target = np.concatenate((np.where(y[rows], 1.0, -1.0), np.ones(len(bent))))
+            w, self.bias = svm(x, target, np.where(target > 0, 1.0, max((target > 0).sum() / max((target < 0).sum(), 1), 0.25)))
+            self.weights = marks.weights(w)
+            worth = word_values(symbols, offsets, self.weights)
+            of_sentence = np.add.reduceat(worth[flat], begin) + self.bias
+            if step + 1 < ROUNDS:
+                positive = np.union1d(sure, np.flatnonzero(y & (of_sentence > 0)))
+                nearest = np.union1d(nearest, negative[np.argsort(-of_sentence[negative], kind="stable")[:HARD]])
+                # Words of negative sentences that the machine takes for telling become landmarks too.
+                wrong = np.where(long & (n0 > 0) & (n0 >= n1), worth, -np.inf)
+                hard = np.argsort(-wrong, kind="stable")[: landmarks // 6]
+                chosen = np.union1d(chosen, hard[np.isfinite(wrong[hard])])
+        return True
+
+    @staticmethod
+    def _project(marks: Landmarks, names: list[bytes], which: np.ndarray) -> np.ndarray:
+        out = []
+        for lo in range(0, len(which), 20_000):
+            out.append(marks.kernel(*packed([names[i] for i in which[lo : lo + 20_000]])) @ marks.fold)
+        return np.vstack(out) if out else np.zeros((0, marks.fold.shape[1]), np.float32)
+
+    @staticmethod
+    def _bent(names, flat, begin, sizes, positive, gain, rng) -> tuple[list[tuple[int, int]], list[bytes]]:
+        """(sentence, its most telling word) of positive sentences, and that word with a letter put in."""
+        which, out = [], []
+        for r in positive:
+            own = flat[begin[r] : begin[r] + sizes[r]]
+            w = int(own[gain[own].argmax()])
+            s = names[w]
+            if len(s) > 4 and gain[w] > 0:
+                i = int(rng.integers(2, len(s)))
+                out.append(s[:i] + bytes([int(rng.integers(26))]) + s[i:])
+                which.append((r, w))
+        return which, out
+
     def measure(self, column: pa.Array) -> np.ndarray:
-        """(highest word, log of words over the margin) of each text."""
+        """(highest sentence, highest word, log of words over the margin) of each text."""
         out = []
-        for lo, hi, words in tx.batches_of_words(column, tx.SPACES, lower=True):
+        for lo, hi, words in tx.batches_of_words(column, tx.SPACES, lower=False):
             h = words.hashes()
             _, where, back = np.unique(h, return_index=True, return_inverse=True)
             symbols, offsets = word_symbols(words, where)
-            value = np.maximum(word_values(symbols, offsets, self.weights, self.bias), -3.0)[back]
+            value = word_values(symbols, offsets, self.weights)[back]
             single = (np.diff(offsets) == 2)[back]
+            for at, word in spelt_out(words, single):
+                value[at] = max(value[at], float(word_values(*encode([word]), self.weights).max(initial=0.0)))
             row = words.row
-            best = np.full(hi - lo, -3.0)
-            np.maximum.at(best, row, value)
-            many = np.bincount(row[value > 0], minlength=hi - lo).astype(float)
-            for r, word in spelt_out(words, single):
-                v = float(word_values(*encode([word]), self.weights, self.bias)[0])
-                best[r] = max(best[r], v)
-                many[r] += v > 0
-            out.append(np.stack([np.minimum(best, 2.0), np.log1p(np.minimum(many, 50))], 1))
-        return np.vstack(out) if out else np.zeros((0, 2))
+            head = sentences(words)
+            found = np.full((hi - lo, 3), LEAST)
+            found[:, 2] = 0
+            if len(head):
+                of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(row))))
+                _, once = np.unique(of * len(where) + back, return_index=True)
+                np.maximum.at(found[:, 0], row[head], np.bincount(of[once], value[once], len(head)) + self.bias)
+                np.maximum.at(found[:, 1], row, value + self.bias)
+                found[:, 2] = np.log1p(np.minimum(np.bincount(row[value + self.bias > 0], minlength=hi - lo), MANY))
+            found[:, :2] = np.clip(found[:, :2], LEAST, MOST)
+            out.append(found)
+        return np.vstack(out) if out else np.zeros((0, 3))
 
     def score(self, column: pa.Array) -> np.ndarray:
         if self.weights is None:
             return np.full(len(column), self.prior)
         f = (self.measure(column) - self.center) / self.spread
-        return 1 / (1 + np.exp(-np.clip(f @ self.logit[:2] + self.logit[2], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(f @ self.logit[:-1] + self.logit[-1], -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Model:
     """`labels` has doc_id and toxic; only its rows are learnt from."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic")
-    chosen = sampled(known.where("toxic = 1"), "doc_id", toxic_rows).unionByName(sampled(known.where("toxic = 0"), "doc_id", other_rows)).dropDuplicates(["doc_id"])
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = sampled(known.where("toxic = 1"), "doc_id", toxic_rows).unionByName(sampled(known.where("toxic = 0"), "doc_id", other_rows))
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").collect()
+    rows.sort(key=lambda r: (r["text"], r["toxic"]))  # the machine does not depend on the order of the table
     return Model([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
 
 

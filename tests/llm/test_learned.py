@@ -8,10 +8,8 @@ import pytest
 from sightline.llm.language_id import Model as Languages
 from sightline.llm.language_id import identify_languages, viterbi
 from sightline.llm.quality_lm import classify_quality
-from sightline.llm.toxicity import Model as Toxicity
-from sightline.llm.toxicity import encode, score_toxicity, word_values
 
-from .cases import empty_table, filler, odd_rows, odd_table
+from .cases import empty_table, odd_table
 
 SOUNDS = {"en": ("th", "er", "ing", "and", "the ", "of "), "fr": ("eau", "ou", "é", "le ", "que ", "tion"), "de": ("sch", "ung", "der ", "ü", "keit", "ein"), "ru": ("про", "ст", "ов", "и ", "не ", "ка")}
 
@@ -63,47 +61,6 @@ def test_viterbi_is_the_best_path():
             assert abs(value(best) - value(got[a:b].tolist())) < 1e-5
 
 
-INSULTS = ["idiot", "moron", "scumbag", "dummkopf"]
-
-
-def said(n, seed, bad):
-    rng = random.Random(seed)
-    words = filler(n, seed).split()
-    for _ in range(rng.randint(1, 3) if bad else 0):
-        words.insert(rng.randrange(len(words)), rng.choice(INSULTS))
-    return " ".join(words)
-
-
-@pytest.fixture(scope="module")
-def toxic():
-    return Toxicity([said(60, i, i % 5 == 0) for i in range(500)], [int(i % 5 == 0) for i in range(500)])
-
-
-def test_toxicity_of_held_out_texts(toxic):
-    import pyarrow as pa
-
-    y = np.array([i % 4 == 0 for i in range(200)])
-    p = toxic.score(pa.array([said(40, 9000 + i, y[i]) for i in range(200)]))
-    assert ((p >= 0.5) == y).mean() > 0.97
-
-
-def test_toxicity_tolerates_gaps_and_insertions(toxic):
-    clean = word_values(*encode(["kalomi", "nupesotu", "wariso"]), toxic.weights, toxic.bias)
-    bent = word_values(*encode(["idxiot", "mor-on", "m0ron", "i.d.i.o.t", "dummmkopf", "scumbags!"]), toxic.weights, toxic.bias)
-    assert bent.min() > 0 > clean.max()
-
-
-def test_toxicity_table(spark):
-    docs = spark.createDataFrame([(i, said(40, i, i % 5 == 0)) for i in range(200)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)] + [(None, 1), (3, None), (7, 0)], "doc_id long, toxic int")
-    rows = score_toxicity(odd_table(spark), docs, labels).collect()
-    assert len(rows) == len(odd_rows()) and all(0 <= r.score <= 1 for r in rows)
-    assert all(r.score < 0.5 for r in rows if not (r.text or "").strip())
-    one_class = score_toxicity(odd_table(spark), docs, labels.where("toxic = 0")).collect()
-    assert {r.score for r in one_class} == {0.0}
-    assert score_toxicity(empty_table(spark), docs, labels.where("false")).count() == 0
-
-
 def test_quality_keeps_what_sounds_like_the_trusted(spark):
     good = [(i, speak("en", 120, i), "en") for i in range(150)]
     junk = [(1000 + i, "".join(random.Random(i).choice("#$%&*!?0123XQZ ") for _ in range(200)), "en") for i in range(30)]
