@@ -36,3 +36,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def extended(schema: StructType, ddl: str) -> StructType:
     """The schema with more fields."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of `df` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -53,11 +53,11 @@ def got(df):
     return sorted(((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in df.collect()), key=str)
 
 
-def test_as_brute_force_in_one_block_and_in_many(spark):
+def test_as_brute_force_whatever_the_filter_lets_through(spark):
     want = brute(rows(), ITEMS, 8)
     docs = odd_table(spark, rows())
     assert got(decontaminate(docs, table(spark, ITEMS))) == want
-    assert got(decontaminate(docs, table(spark, ITEMS), block_bytes=40)) == want
+    assert got(decontaminate(docs, table(spark, ITEMS), filter_bits=64)) == want
 
 
 def test_empty_benchmark_and_empty_documents(spark):
@@ -81,4 +81,18 @@ def test_rows_with_one_id_are_one_item(spark):
     want = brute(rows(), items, 8)
     docs = odd_table(spark, rows())
     assert got(decontaminate(docs, table(spark, items))) == want
-    assert got(decontaminate(docs, table(spark, items), block_bytes=40)) == want
+    assert got(decontaminate(docs, table(spark, items), filter_bits=64)) == want
+
+
+def test_repeated_rows_of_an_item_in_either_order_are_one_item(spark):
+    passage, other = filler(12, 60), filler(12, 61)
+    for items in ([(7, passage), (7, passage), (3, other)], [(3, other), (7, passage), (7, passage)]):
+        row = decontaminate(spark.createDataFrame([(1, "so " + passage)], "doc_id long, text string"), table(spark, items)).first()
+        assert row["items"] == [7] and row.n_hit == 12
+
+
+def test_clashing_names(spark):
+    docs = odd_table(spark, rows()).selectExpr("*", "'a' as __digest", "'b' as __spans", "'c' as __FOUND_digest", "'d' as win", "'e' as at")
+    done = decontaminate(docs, table(spark, ITEMS), excise=True)
+    assert {"__digest", "__spans", "__FOUND_digest", "win", "at"} <= set(done.columns)
+    assert got(done) == brute(rows(), ITEMS, 8)
