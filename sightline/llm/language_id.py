@@ -1,16 +1,16 @@
 """Language identification of mixed-language texts.
 
-A word is a run of letters and marks. The scripts of its letters narrow the candidates to the
+A word is a run of letters and marks that holds a letter. The scripts of its letters narrow the candidates to the
 languages that use them. Each candidate scores the word by its character bigrams and trigrams, word
 ends included, under a smoothed model; Viterbi over the words of a text, with a penalty for each
 switch, labels spans of one language. The text's language is the one with most letters, where those
 of a language that opens and closes the text count more: others are quoted in it.
 
-The model is fitted on a bounded sample of labelled texts (`train_rows`), whole, weighing each
-language alike; its tables have a fixed size. Texts and labels of held-out rows are not read.
+The model is fitted on a bounded sample of labelled texts (`train_rows` in all, but `lang_rows` of each
+language with as many, of the `LANGUAGES` commonest), whole, weighing each language alike; its tables have a fixed size. Texts and labels of held-out rows are not read.
 
-Defined results: texts that are null or hold no letter have language `und`, a score of 0 and no
-spans; with nothing to learn from every text is `und`. Rows are worked on one by one, texts whole.
+Defined results: texts that are null or hold no letter (category L, of any plane; marks are none) have
+language `und`, a score of 0 and no spans; with nothing to learn from every text is `und`. Rows are worked on one by one, texts whole.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .samples import sampled
 from .scratch import extended
 
-TRAIN_ROWS = 6000
+#: Training rows in all, of a language at least (if it has as many), and languages that are learnt.
+TRAIN_ROWS, LANG_ROWS, LANGUAGES = 6000, 200, 400
 #: Slots of the n-gram tables, and what a switch of language costs, in nats.
 SLOTS = 1 << 17
 SWITCH = 12.0
@@ -35,40 +35,54 @@ SWITCH = 12.0
 FRAME = 3.0
 #: Share of a language's letters from which a script counts as its own.
 SCRIPT_SHARE = 0.005
-PLANE = 0x20000
+#: Code points that there may be.
+POINTS = 0x110000
 SCRIPTS = ["LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "HEBREW", "ARABIC", "DEVANAGARI", "BENGALI", "TAMIL", "TELUGU", "THAI", "GEORGIAN", "HANGUL", "HIRAGANA", "KATAKANA", "CJK", "ETHIOPIC"]
 
 
 @cache
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each code point: whether it is part of words, its lower case, and its script's number."""
-    letter, lower, script = np.zeros(PLANE, bool), np.arange(PLANE, dtype=np.uint32), np.zeros(PLANE, np.int8)
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: whether it is a letter (of category L, in any plane), whether it is a mark,
+    its lower case, and its script's number."""
+    letter, mark = np.zeros(POINTS, bool), np.zeros(POINTS, bool)
+    lower, script = np.arange(POINTS, dtype=np.uint32), np.zeros(POINTS, np.int8)
     number = {s: i + 1 for i, s in enumerate(SCRIPTS)}
-    for c in range(PLANE):
-        kind = unicodedata.category(chr(c))
-        if kind[0] in "LM":
+    for c in range(POINTS):
+        if 0x40000 <= c < 0xE0000:  # planes without characters
+            continue
+        kind = unicodedata.category(chr(c))[0]
+        if kind == "M":
+            mark[c] = True
+        elif kind == "L":
             letter[c] = True
-            if kind[0] == "L":
-                script[c] = number.get(unicodedata.name(chr(c), "").split(" ")[0], 0)
+            script[c] = number.get(unicodedata.name(chr(c), "").split(" ")[0], 0)
             if len(low := chr(c).lower()) == 1:
                 lower[c] = ord(low)
-    return letter, lower, script
+    return letter, mark, lower, script
 
 
 class Letters:
     """The words of some texts by code points: letters (lower case), and word and row bounds."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        letter, lower, script = tables()
+        letter, mark, lower, script = tables()
         points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # bytes that begin a code point
-        points = np.minimum(points, PLANE - 1)
         bounds = heads[offsets]
         n = len(points)
         inside = letter[points]
+        marks = mark[points]
+        if marks.any():
+            inside = inside | marks
         edge = np.zeros(n + 1, bool)
         edge[bounds] = True
         starts = np.flatnonzero(inside & (edge[:n] | ~np.concatenate(([False], inside[:-1]))[:n]))
+        if marks.any() and len(starts):  # runs of marks alone are no words
+            ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False]))[:n])) + 1
+            sums = np.concatenate(([0], np.cumsum(inside & ~marks)))
+            for a, b in zip(starts[bare := sums[ends] == sums[starts]], ends[bare], strict=True):
+                inside[a:b] = False
+            starts = starts[~bare]
         self.at = np.flatnonzero(inside)
         self.points = lower[points[self.at]].astype(np.uint64)
         self.script = script[points[self.at]]
@@ -209,12 +223,22 @@ def _identify(model, text_at: int, names: list[str], penalty: float):
     return scan
 
 
-def identify_languages(docs: DataFrame, training: DataFrame, train_rows: int = TRAIN_ROWS, penalty: float = SWITCH) -> DataFrame:
+def _sample(rows: DataFrame, total: int, least: int) -> DataFrame:
+    """Of each language its part of about `total` rows, and `least` rows (all, if it has fewer), chosen by
+    a hash of doc_id and text. Languages are counted first; for the rarest, rows beyond are cut."""
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    share = counts.select("lang", F.least(F.lit(1.0), F.greatest(F.lit(total) / F.sum("count").over(Window.partitionBy()), F.lit(least) / F.col("count"))).alias("share"))
+    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    return picked.select("text", "lang").limit(2 * (total + least * LANGUAGES))
+
+
+def identify_languages(docs: DataFrame, training: DataFrame, train_rows: int = TRAIN_ROWS, lang_rows: int = LANG_ROWS, penalty: float = SWITCH) -> DataFrame:
     """All columns of `docs` and lang_pred, score (0 to 1: the share of the counted letters in the
     language named) and spans (language and word range). `training` has doc_id, text and lang. Columns of
     `docs` with these names are replaced."""
     docs = docs.drop("lang_pred", "score", "spans").withColumn("text", F.col("text").cast("string"))
-    rows = sampled(training.where("lang is not null and text is not null").select("doc_id", "text", "lang"), "doc_id", train_rows).collect()
+    known = training.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    rows = _sample(known, train_rows, lang_rows).collect()
     model = docs.sparkSession.sparkContext.broadcast(Model([r["text"] for r in rows], [r["lang"] for r in rows]))
     schema = extended(docs.schema, "lang_pred string, score double, spans array<struct<lang:string,start:long,end:long>>")
     return docs.mapInArrow(_identify(model, docs.columns.index("text"), schema.names, penalty), schema)

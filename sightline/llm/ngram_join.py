@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .graph import components
-from .scratch import materialize
+from .scratch import materialize, unused
 
 SIZE = 4
 #: Links need 100 * overlap >= PERCENT * union.
@@ -268,5 +268,6 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
 
 def drop_near_copies(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Rows of `docs` without those whose component has a smaller doc_id; all columns are kept."""
-    found = ngram_components(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__copy"], "left_anti")
+    (copy,) = unused(docs, "copy")
+    found = ngram_components(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(copy), "left_anti")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .scratch import extended, materialize
+from .scratch import extended, materialize, unused
 
 WINDOW = 50
 GRAM = 25
@@ -191,7 +191,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     n_words, n_removed. Columns of `docs` with these two names are replaced."""
     docs = docs.drop("n_words", "n_removed")
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    cuts = find_repeats(docs, window, gram).select(F.col("doc_id").alias("__cut_id"), F.col("cuts").alias("__cuts"))
-    told = docs.join(cuts, docs["doc_id"] == F.col("__cut_id"), "left").drop("__cut_id")
+    cut_id, listed = unused(docs, "cut_id", "cuts")
+    cuts = find_repeats(docs, window, gram).select(F.col("doc_id").alias(cut_id), F.col("cuts").alias(listed))
+    told = docs.join(cuts, F.col("doc_id") == F.col(cut_id), "left").drop(cut_id)
     names = [*docs.columns, "n_words", "n_removed"]
     return told.mapInArrow(_cut(window, gram, docs.columns.index("text"), names), extended(docs.schema, "n_words long, n_removed long"))

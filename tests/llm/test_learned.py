@@ -117,3 +117,15 @@ def test_quality_counts_every_n_gram_of_much_text(spark):
         want = [log_probability(padded[i : i + ORDER]) for i in range(len(t))]
         points = np.array([1] * (ORDER - 1) + [ord(c) + 2 for c in t], np.uint64)
         assert np.allclose(model.log_likelihood(points), want, atol=1e-4)
+
+
+def test_letters_of_all_planes_and_marks_alone(spark, spoken):
+    texts = ["́̀ ̈", "\U00020000\U00020001 \U00030000", "12 ́ !", "é", "\U0001f600"]
+    rows = identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spoken).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in rows] == [True, False, True, False, True]
+
+
+def test_a_rare_language_is_learnt(spark, spoken):
+    rare = spark.createDataFrame([(10_000 + i, "".join(random.Random(i).choice(["kwa ", "zulu", "ngo", "mba "]) for _ in range(40)), "sw") for i in range(4)], "doc_id long, text string, lang string")
+    test = spark.createDataFrame([(1, "".join(random.Random(99).choice(["kwa ", "zulu", "ngo", "mba "]) for _ in range(40)))], "doc_id long, text string")
+    assert identify_languages(test, spoken.unionByName(rare), train_rows=20, lang_rows=10).first().lang_pred == "sw"

@@ -54,3 +54,9 @@ def test_keeps_other_columns_and_empty_tables(spark):
     done = substring_dedup(odd_table(spark))
     assert done.columns[:2] == ["doc_id", "text"] and {"lang", "score", "n_words", "n_removed"} <= set(done.columns)
     assert substring_dedup(empty_table(spark)).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = odd_table(spark).selectExpr("*", "'a' as __cuts", "'b' as __cut_id", "'c' as anchor")
+    done = substring_dedup(docs)
+    assert {"__cuts", "__cut_id", "anchor"} <= set(done.columns) and done.count() == docs.count()
