@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the contract.
 C1_EPSILON, C2_EPSILON, C2_DROP, C3_MIN_GT, C4_TOLERANCE = 0.0, 0.0, 0.05, 500, 0.02
+#: Fixed order in which slices are looked at.
+SLICE_AXES = ("class", "weather", "camera", "scale")
 #: Fixed values of the diagnosis.
 OVERFIT_RATIO, UNDERFIT_FLOOR, UNDERFIT_DROP = 1.2, 0.381, 0.05
 #: Fixed value: minutes an epoch of a trial is taken to last.
@@ -28,16 +30,33 @@ def sig_worse(challenger_high: Column, champion_point: Column) -> Column:
     return F.coalesce(challenger_high < champion_point, F.lit(False))
 
 
+def _paired(champion: DataFrame, challenger: DataFrame, roles: DataFrame) -> DataFrame:
+    """Slices that both sides have, with both points, the challenger's upper bound and `worse`."""
+    keys = ["suite", "axis", "bucket", "metric"]
+    a = champion.select(*keys, F.coalesce("class_id", F.lit(-1)).alias("cls"), F.col("point").alias("old"), F.col("n_gt").alias("old_n"))
+    b = challenger.select(*keys, F.coalesce("class_id", F.lit(-1)).alias("cls"), F.col("point").alias("new"), F.col("ci_high").alias("new_high"), F.col("n_gt").alias("new_n"))
+    return a.join(b, [*keys, "cls"]).join(F.broadcast(roles), "suite").withColumn("worse", sig_worse(F.col("new_high"), F.col("old")))
+
+
+def slice_regressions(champion: DataFrame, challenger: DataFrame, roles: DataFrame) -> DataFrame:
+    """(suite, axis, bucket, metric, n_gt, old, new, kind, place): in-distribution slices on which the
+    challenger is significantly worse; kind is block, or warning for slices with little ground truth.
+    `place` is the order in which a report lists them."""
+    axes = F.array(*map(F.lit, SLICE_AXES))
+    sliced = ((F.col("axis") == "class") & (F.col("metric") == "ap")) | ((F.col("axis") != "class") & F.array_contains(axes, F.col("axis")) & (F.col("metric") == "map"))
+    bad = _paired(champion, challenger, roles).where(sliced & (F.col("role") == "in_distribution") & F.col("worse"))
+    kind = F.when(F.col("new_n") >= C3_MIN_GT, "block").otherwise("warning")
+    place = F.struct(F.array_position(axes, F.col("axis")).alias("axis"), F.col("bucket"))
+    return bad.select("suite", "axis", "bucket", "metric", F.col("new_n").alias("n_gt"), "old", "new", kind.alias("kind"), place.alias("place"))
+
+
 def contract(champion: DataFrame, challenger: DataFrame, curves: DataFrame, roles: DataFrame) -> DataFrame:
     """Five rows: clause, passed, detail.
 
     `champion` and `challenger` have suite, axis, bucket, class_id, metric, point, ci_low, ci_high,
     n_gt; `curves` model (champion or challenger), corruption, severity, point; `roles` suite, role.
     Slices that one side lacks are passed over. Undefined values are null."""
-    keys = ["suite", "axis", "bucket", "metric"]
-    a = champion.select(*keys, F.coalesce("class_id", F.lit(-1)).alias("cls"), F.col("point").alias("old"), F.col("n_gt").alias("old_n"))
-    b = challenger.select(*keys, F.coalesce("class_id", F.lit(-1)).alias("cls"), F.col("point").alias("new"), F.col("ci_high").alias("new_high"), F.col("n_gt").alias("new_n"))
-    both = a.join(b, [*keys, "cls"]).join(F.broadcast(roles), "suite").withColumn("worse", sig_worse(F.col("new_high"), F.col("old")))
+    both = _paired(champion, challenger, roles)
     overall = (F.col("axis") == "overall") & (F.col("metric") == "map")
     inside, gated = F.col("role") == "in_distribution", F.col("role") == "gated"
 
@@ -48,8 +67,7 @@ def contract(champion: DataFrame, challenger: DataFrame, curves: DataFrame, role
     fine = (F.col("drop") <= C2_DROP) & (F.col("new") >= F.col("old") - C2_EPSILON) & ~F.col("all_worse")
     c2 = c2.select(F.lit("C2").alias("clause"), F.coalesce(fine, F.lit(False)).alias("passed"), F.format_string("%.4f -> %.4f, worst drop %.4f", "old", "new", "drop").alias("detail"))
 
-    sliced = ((F.col("axis") == "class") & (F.col("metric") == "ap")) | (F.col("axis").isin("weather", "camera", "scale") & (F.col("metric") == "map"))
-    c3 = both.where(sliced & inside & F.col("worse")).agg(F.count(F.when(F.col("new_n") >= C3_MIN_GT, 1)).alias("blocks"), F.count(F.when(F.col("new_n") < C3_MIN_GT, 1)).alias("warnings"))
+    c3 = slice_regressions(champion, challenger, roles).agg(F.count_if(F.col("kind") == "block").alias("blocks"), F.count_if(F.col("kind") == "warning").alias("warnings"))
     c3 = c3.select(F.lit("C3").alias("clause"), (F.col("blocks") == 0).alias("passed"), F.format_string("%d blocks, %d warnings", "blocks", "warnings").alias("detail"))
 
     # One undefined cell leaves the whole curve undefined.
@@ -64,9 +82,15 @@ def contract(champion: DataFrame, challenger: DataFrame, curves: DataFrame, role
     return c1.unionByName(c2).unionByName(c3).unionByName(c4).unionByName(c5)
 
 
-def decision(clauses: DataFrame) -> DataFrame:
-    """One row: whether all clauses pass, and those that do not."""
-    return clauses.agg(F.bool_and("passed").alias("promoted"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("clause")))), ",").alias("failed"))
+def decision(clauses: DataFrame, regressions: DataFrame | None = None) -> DataFrame:
+    """One row: whether all clauses pass, and those that do not; with `regressions`, also the warnings, a
+    text for each slice that does not block, by axis and bucket."""
+    out = clauses.agg(F.bool_and("passed").alias("promoted"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("clause")))), ",").alias("failed"))
+    if regressions is None:
+        return out
+    told = F.format_string("%s/%s: %.4f -> %.4f on %d boxes", "axis", "bucket", "old", "new", "n_gt")
+    listed = regressions.where("kind = 'warning'").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", told.alias("text")))), lambda s: s["text"]).alias("warnings"))
+    return out.join(F.broadcast(listed), F.lit(True))
 
 
 def leaked_sequences(assignment: DataFrame) -> DataFrame:

@@ -9,10 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .matching import HIT, LEFT_OUT, RANGES, THRESHOLDS
+
 #: Score bins of the running counts.
 BINS = 256
 POINTS = 101
@@ -25,6 +30,14 @@ def _reached(recall: Column) -> Column:
     return F.least(F.when((i + 1).cast("double") * step <= recall, i + 1).when(i.cast("double") * step <= recall, i).otherwise(i - 1), F.lit(POINTS - 1))
 
 
+def _envelope_means(best: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, ap) from the best precision at each recall point reached. Precision at point i is the best
+    from i on; each row holds the points down to the next k below."""
+    down = W.partitionBy(*group).orderBy("k")
+    held = best.select(*group, "k", F.coalesce(F.lag("k").over(down), F.lit(-1)).alias("below"), F.max("precision").over(down.rowsBetween(0, W.unboundedFollowing)).alias("envelope"))
+    return held.groupBy(*group).agg((F.sum(F.col("envelope") * (F.col("k") - F.col("below"))) / F.lit(float(POINTS))).alias("ap"))
+
+
 def average_precision(facts: DataFrame, totals: DataFrame, group: Sequence[str], hit: str = "is_hit", weight: str | None = None) -> DataFrame:
     """(group, n_gt, ap). `facts` has group, image_id, det_ordinal, score and `hit`; `totals` has
     group and n_gt and is the universe: groups without ground truth have a null AP, groups without
@@ -44,10 +57,7 @@ def average_precision(facts: DataFrame, totals: DataFrame, group: Sequence[str],
     tp = F.col("tp0") + F.col("tp")
     with_recall = counted.where("n_gt > 0").select(*group, _reached(tp / F.col("n_gt")).alias("k"), (tp / F.greatest(F.col("n0") + F.col("n"), F.lit(1e-12))).alias("precision"))
     best = with_recall.groupBy(*group, "k").agg(F.max("precision").alias("precision"))
-    # Precision at point i is the best from i on; each row holds the points down to the next k below.
-    down = W.partitionBy(*group).orderBy("k")
-    held = best.select(*group, "k", F.coalesce(F.lag("k").over(down), F.lit(-1)).alias("below"), F.max("precision").over(down.rowsBetween(0, W.unboundedFollowing)).alias("envelope"))
-    ap = held.groupBy(*group).agg((F.sum(F.col("envelope") * (F.col("k") - F.col("below"))) / F.lit(float(POINTS))).alias("ap"))
+    ap = _envelope_means(best, group)
     return totals.join(ap, group, "left").select(*group, "n_gt", F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 
@@ -68,6 +78,60 @@ def sliced(rows: DataFrame, images: DataFrame) -> DataFrame:
     return known.withColumn("slice", F.explode(F.array_compact(slices))).select("*", "slice.axis", "slice.bucket").drop("slice", "weather", "camera")
 
 
+def sliced_outcomes(matched: DataFrame, images: DataFrame, thresholds: Sequence[float] = THRESHOLDS, ranges: Sequence[str] = RANGES) -> DataFrame:
+    """Match facts repeated for each slice of their image: axis, bucket, and the outcomes of the slice's
+    range alone, by threshold. Detections of images that `images` lacks go."""
+    n = len(thresholds)
+    known = matched.join(images.select("image_id", "weather", "camera"), "image_id")
+
+    def part(axis: str, bucket: Column, area: str) -> Column:
+        return F.struct(F.lit(axis).alias("axis"), bucket.cast("string").alias("bucket"), F.slice("outcomes", ranges.index(area) * n + 1, n).alias("outcomes"))
+
+    whole = [part("overall", F.lit("all"), "all"), part("weather", F.col("weather"), "all"), part("camera", F.col("camera"), "all")]
+    slices = F.array(*whole, *[part("scale", F.lit(r), r) for r in ranges if r != "all"])
+    return known.withColumn("slice", F.explode(slices)).drop("outcomes", "weather", "camera").select("*", "slice.*").drop("slice")
+
+
+def _best_points(group: Sequence[str], n_thresholds: int):
+    """Of one score bin of a group: the best precision at each recall point reached, by threshold."""
+
+    def points(table: pa.Table) -> pa.Table:
+        table = table.take(pa.compute.sort_indices(table, sort_keys=[("score", "descending"), ("image_id", "ascending"), ("det_ordinal", "ascending")]))
+        codes = np.asarray(table["outcomes"].combine_chunks().flatten()).reshape(-1, n_thresholds)
+        first = {c: np.asarray(table[c][0].values, np.float64) for c in ("tp0", "n0")}
+        tp = first["tp0"] + np.cumsum(codes == HIT, axis=0)
+        precision = tp / np.maximum(first["n0"] + np.cumsum(codes != LEFT_OUT, axis=0), 1e-12)
+        row, thr = np.nonzero(codes == HIT)  # precision only falls between hits
+        recall = tp[row, thr] / table["n_gt"][0].as_py()
+        k = np.floor(recall * 100)
+        k = np.where((k + 1) * 0.01 <= recall, k + 1, np.where(k * 0.01 <= recall, k, k - 1))
+        best = np.full((n_thresholds, POINTS), -1.0)
+        np.maximum.at(best, (thr, np.minimum(k, POINTS - 1).astype(np.int64)), precision[row, thr])
+        thr, k = np.nonzero(best >= 0)
+        keys = {g: pa.array([table[g][0].as_py()] * len(k), table.schema.field(g).type) for g in group}
+        return pa.table({**keys, "thr": thr.astype(np.int32), "k": k.astype(np.int32), "precision": best[thr, k]})
+
+    return points
+
+
+def average_precisions(rows: DataFrame, totals: DataFrame, group: Sequence[str], thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """(group, iou_thr, n_gt, ap) as average_precision gives it, for all thresholds at once: `rows` has
+    group, image_id, det_ordinal, score and outcomes by threshold. The order by score is the same for each,
+    so a detection is moved and sorted once."""
+    group, n = list(group), len(thresholds)
+    span = F.least(F.greatest(F.floor((1 - F.col("score")) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    rows = rows.select(*group, "image_id", "det_ordinal", "score", "outcomes", span.alias("bin"))
+    sums = rows.groupBy(*group, "bin").agg(*[F.count_if(F.get("outcomes", k) == HIT).alias(f"h{k}") for k in range(n)], *[F.count_if(F.get("outcomes", k) != LEFT_OUT).alias(f"c{k}") for k in range(n)])
+    before = W.partitionBy(*group).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    counted = [F.array(*[F.coalesce(F.sum(f"{c}{k}").over(before), F.lit(0)).cast("long") for k in range(n)]).alias(name) for c, name in (("h", "tp0"), ("c", "n0"))]
+    base = sums.select(*group, "bin", *counted).join(totals.where("n_gt > 0"), group)
+    types = dict(rows.dtypes)
+    best = rows.join(base, [*group, "bin"]).groupBy(*group, "bin").applyInArrow(_best_points(group, n), ", ".join([*[f"{g} {types[g]}" for g in group], "thr int", "k int", "precision double"]))
+    ap = _envelope_means(best.groupBy(*group, "thr", "k").agg(F.max("precision").alias("precision")), [*group, "thr"])
+    every = totals.select(*group, "n_gt", F.explode(F.array(*[F.struct(F.lit(k).alias("thr"), F.lit(float(t)).alias("iou_thr")) for k, t in enumerate(thresholds)])).alias("t")).select(*group, "n_gt", "t.*")
+    return every.join(ap, [*group, "thr"], "left").select(*group, "iou_thr", "n_gt", F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+
+
 def slice_universe(images: DataFrame, ranges: Sequence[str]) -> DataFrame:
     """(axis, bucket, n_images) of every slice; images without boxes count."""
     part = images.select(F.explode(F.array(
@@ -79,22 +143,24 @@ def slice_universe(images: DataFrame, ranges: Sequence[str]) -> DataFrame:
     return part.groupBy("s.axis", "s.bucket").agg(F.count("*").alias("n_images"))
 
 
-def evaluate_slices(facts: DataFrame, counts: DataFrame, images: DataFrame, classes: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """(by, axis, bucket, class_id, iou_thr, n_gt, ap) for every slice, class and threshold that
-    `facts` holds. `counts` is gt_counts; every slice of the images is there, with or without boxes."""
+def evaluate_slices(matched: DataFrame, counts: DataFrame, images: DataFrame, classes: Sequence[int], by: Sequence[str] = (), thresholds: Sequence[float] = THRESHOLDS, ranges: Sequence[str] = RANGES) -> DataFrame:
+    """(by, axis, bucket, class_id, iou_thr, n_gt, ap) for every slice, class and threshold. `matched` is
+    what match() gives for these thresholds and ranges, `counts` gt_counts; every slice of the images is
+    there, with or without boxes, and detections of other images do not count."""
     by = list(by)
-    ranges = ["all", "small", "medium", "large"]
-    thresholds = facts.select("iou_thr").distinct()
     universe = slice_universe(images, ranges)
     n_gt = sliced(counts, images).groupBy("axis", "bucket", "class_id").agg(F.sum("n_gt").alias("n_gt"))
     grid = universe.select("axis", "bucket").withColumn("class_id", F.explode(F.array(*[F.lit(int(c)).cast(dict(counts.dtypes)["class_id"]) for c in classes])))
     totals = grid.join(n_gt, ["axis", "bucket", "class_id"], "left").withColumn("n_gt", F.coalesce("n_gt", F.lit(0).cast("long")))
-    # Few rows: thresholds and the groups of `by` are configuration.
-    totals = totals.join(F.broadcast(thresholds), F.lit(True))
-    if by:
-        totals = totals.join(F.broadcast(facts.select(*by).distinct()), F.lit(True))
-    group = [*by, "axis", "bucket", "class_id", "iou_thr"]
-    return average_precision(sliced(facts, images), totals.select(*group, "n_gt"), group)
+    if by:  # the groups of `by` are configuration
+        totals = totals.join(F.broadcast(matched.select(*by).distinct()), F.lit(True))
+    group = [*by, "axis", "bucket", "class_id"]
+    return average_precisions(sliced_outcomes(matched, images, thresholds, ranges), totals.select(*group, "n_gt"), group, thresholds)
+
+
+def first_images(images: DataFrame, limit: int) -> DataFrame:
+    """The images with the smallest ids, for a short run."""
+    return images.orderBy("image_id").limit(limit)
 
 
 def mean_metrics(aps: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -19,18 +19,20 @@ class TaxonomyError(ValueError):
     """The taxonomy contradicts itself."""
 
 
+def taxonomy_faults(routes: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(fault, name): repeated canonical names, map targets that are no canonical name, and native labels
+    listed twice, within a verb or across."""
+    twice = canonical.groupBy("name").count().where("count > 1").select(F.lit("canonical name repeats").alias("fault"), "name")
+    strange = routes.where("verb = 'map'").join(canonical, routes["canonical"] == canonical["name"], "left_anti").select(F.lit("target is not canonical"), "canonical").distinct()
+    double = routes.groupBy("dataset", "native").count().where("count > 1").select(F.lit("routed twice"), F.concat_ws("/", "dataset", "native"))
+    return twice.union(strange).union(double)
+
+
 def validate_taxonomy(routes: DataFrame, canonical: DataFrame) -> None:
-    """Raises for repeated canonical names, map targets that are no canonical name, and native labels
-    listed twice, within a verb or across. Only offending names come to the driver."""
-    twice = [r["name"] for r in canonical.groupBy("name").count().where("count > 1").limit(20).collect()]
-    if twice:
-        raise TaxonomyError(f"canonical names repeat: {sorted(twice)}")
-    strange = [r["canonical"] for r in routes.where("verb = 'map'").join(canonical, routes["canonical"] == canonical["name"], "left_anti").select("canonical").distinct().limit(20).collect()]
-    if strange:
-        raise TaxonomyError(f"map targets are not canonical: {sorted(map(str, strange))}")
-    double = [(r["dataset"], r["native"]) for r in routes.groupBy("dataset", "native").count().where("count > 1").limit(20).collect()]
-    if double:
-        raise TaxonomyError(f"native classes are routed twice: {sorted(double)}")
+    """Raises if there are faults. Only offending names come to the driver."""
+    found = taxonomy_faults(routes, canonical).limit(20).collect()
+    if found:
+        raise TaxonomyError("; ".join(sorted(f"{r['fault']}: {r['name']}" for r in found)))
 
 
 def route(boxes: DataFrame, routes: DataFrame, canonical: DataFrame) -> DataFrame:

@@ -17,9 +17,10 @@ def slice_metrics(suite: str, images: DataFrame, gt: DataFrame, regions: DataFra
     class, map50 and map over classes. `images` has image_id, weather and camera and is the universe:
     detections of other images do not count, images without boxes do."""
     known = detections.join(images.select("image_id"), "image_id", "left_semi")
-    facts = match_facts(match(known, gt, regions)).persist()
+    matched = match(known, gt, regions).persist()
+    facts = match_facts(matched)
     counts = gt_counts(gt)
-    aps = evaluate_slices(facts, counts, images, classes).persist()
+    aps = evaluate_slices(matched, counts, images, classes).persist()
     per_class = aps.groupBy("axis", "bucket", "class_id").agg(F.avg(F.when(F.col("iou_thr") == 0.5, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap"), F.max("n_gt").alias("n_gt"))
     one = per_class.select("axis", "bucket", "class_id", "n_gt", F.explode(F.create_map(F.lit("ap50"), "ap50", F.lit("ap"), "ap")).alias("metric", "point"))
     whole = mean_metrics(aps).select("axis", "bucket", F.lit(None).cast(dict(gt.dtypes)["class_id"]).alias("class_id"), "n_gt", F.explode(F.create_map(F.lit("map50"), "map50", F.lit("map"), "map")).alias("metric", "point"))

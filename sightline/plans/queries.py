@@ -230,8 +230,7 @@ totals AS (SELECT u.axis, u.bucket, c.class_id, t.thr, CAST(coalesce(sum(s.n_gt)
 
 
 def _aps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = ma.match_facts(_matched(spark, sf_dir), ["severity"])
-    return me.evaluate_slices(facts, ma.gt_counts(v.gt_boxes(spark, sf_dir)), v.images(spark, sf_dir), [0, 1, 2])
+    return me.evaluate_slices(_matched(spark, sf_dir), ma.gt_counts(v.gt_boxes(spark, sf_dir)), v.images(spark, sf_dir), [0, 1, 2])
 
 
 @query(APS_SQL + " SELECT axis, bucket, class_id, thr AS iou_thr, n_gt, round(ap, 6) AS ap FROM aps")
@@ -256,10 +255,10 @@ curve AS (SELECT 'shift' AS corruption, severity, point FROM points)"""
 
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = ma.match_facts(_matched(spark, sf_dir, (0.5,), ("all",), SEVERITIES), ["severity"], (0.5,), ("all",))
+    matched = _matched(spark, sf_dir, (0.5,), ("all",), SEVERITIES).join(v.images(spark, sf_dir), "image_id", "left_semi")
     n = v.gt_boxes(spark, sf_dir).groupBy("class_id").agg(F.count("*").alias("n_gt"))
     totals = n.withColumn("severity", F.explode(F.array(*map(F.lit, SEVERITIES))))
-    aps = me.average_precision(facts, totals, ["severity", "class_id"])
+    aps = me.average_precisions(matched, totals, ["severity", "class_id"], (0.5,))
     points = aps.groupBy("severity").agg(F.avg("ap").alias("point")).withColumn("corruption", F.lit("shift"))
     return me.degradation_curves(points)
 

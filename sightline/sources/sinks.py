@@ -44,10 +44,15 @@ def read_small(spark: SparkSession, path: str) -> str | None:
 
 
 def write_small(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file that the driver holds, wherever Spark's file systems reach."""
     fs, where = _file(spark, path)
     stream = fs.create(where, True)
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(data))
     finally:
         stream.close()
 
@@ -225,7 +230,10 @@ def render_report(metrics: DataFrame, headline: DataFrame, provenance: Mapping[s
 
 
 def render_decision(clauses: DataFrame, outcome: DataFrame) -> tuple[str, str]:
+    """(JSON, Markdown) of a decision; `outcome` may carry warnings, one text a slice."""
     rows = [r.asDict() for r in clauses.orderBy("clause").collect()]
     final = outcome.first().asDict()
     word = "PROMOTE" if final["promoted"] else "REJECT"
-    return json.dumps({"promoted": final["promoted"], "clauses": rows}, indent=2), f"# {word}\n\n" + markdown_table(rows, ["clause", "passed", "detail"])
+    warnings = list(final.get("warnings") or [])
+    text = f"# {word}\n\n" + markdown_table(rows, ["clause", "passed", "detail"]) + "".join(f"\n- warning: {w}" for w in warnings)
+    return json.dumps({"promoted": final["promoted"], "clauses": rows, "warnings": warnings}, indent=2), text

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.operators import gates as ga
 from sightline.operators import splits as sp
@@ -166,3 +167,61 @@ def test_seeded_samples(spark):
     a = sp.sample_ids(ids[::-1], 10, 1)
     assert a == sp.sample_ids(ids, 10, 1) == sorted(a) and len(a) == 10 and sp.sample_ids(ids, 99, 1) == ids
     assert sp.sample_rows(spark.range(100).selectExpr("id as k"), "k", 7, 1).count() == 7
+
+
+# A published assignment, and the groups that it is of (weather: group: number of its sequences).
+PUBLISHED_SEED = 1337
+PUBLISHED_SHARES = {"train": 0.58, "prod_holdout": 0.2, "val": 0.12, "test": 0.1}
+PUBLISHED_MINIMA = {"prod_holdout": {"night": 1, "rainy": 1}, "test": {"night": 1, "rainy": 1}}
+PUBLISHED_GROUPS = {
+    "sunny": {"cam_wideave_complex": 6, "cam_redbanner_a": 2, "cam_redbarrier": 5, "cam_41063": 1, "cam_41073": 1},
+    "night": {"cam_treemed": 2, "cam_bldgroad": 3, "cam_billboard": 2, "cam_nightblue": 2, "cam_pillar_r": 2, "cam_39781": 1, "cam_39851": 1, "cam_39861": 1, "cam_40752": 1, "cam_40981": 1},
+    "cloudy": {"cam_fence5": 5, "cam_greenmed": 2, "cam_hedge_a": 2, "cam_hedge_b": 3, "cam_hedge_c": 3, "cam_39931": 1, "cam_40141": 1, "cam_40181": 1},
+    "cloudy rainy": {"cam_metalmed": 3},
+    "rainy": {"cam_hedgewall": 6, "cam_40871": 1, "cam_63544": 1},
+}
+PUBLISHED_SPLITS = {
+    "train": "cam_39861 cam_40981 cam_bldgroad cam_fence5 cam_hedge_a cam_hedge_b cam_hedgewall cam_metalmed cam_redbarrier cam_wideave_complex",
+    "val": "cam_41073 cam_billboard cam_redbanner_a cam_treemed",
+    "test": "cam_40141 cam_40752 cam_41063 cam_63544 cam_greenmed",
+    "prod_holdout": "cam_39781 cam_39851 cam_39931 cam_40181 cam_40871 cam_hedge_c cam_nightblue cam_pillar_r",
+}
+PUBLISHED_SEQUENCES = {"train": 35, "val": 7, "test": 6, "prod_holdout": 12}
+
+
+def test_the_published_assignment(spark):
+    groups = {g: {"weathers": w.split(), "sequences": [f"{g}/{k}" for k in range(n)]} for w, own in PUBLISHED_GROUPS.items() for g, n in own.items()}
+    got = sp.assign_groups(groups, {"seed": PUBLISHED_SEED, "proportions": PUBLISHED_SHARES, "constraints": {"min_weather_groups": PUBLISHED_MINIMA}})
+    assert got == {s: names.split() for s, names in PUBLISHED_SPLITS.items()}
+    counts = sp.manifest_counts(sp.manifests(sp.split_table(spark, got), sp.group_table(spark, groups))).collect()
+    assert {r.split: r.sequences for r in counts} == PUBLISHED_SEQUENCES
+
+
+# The points and bounds of a published promotion (clauses 1, 2 and 4).
+PUBLISHED_INSIDE = {"champion": (0.6009879202905629, 0.5764562087376732, 0.6251224460604056), "challenger": (0.6301693458708414, 0.6095182779101239, 0.6510536924384659)}
+PUBLISHED_GATED = {"champion": 0.1367658539207289, "challenger": 0.1514011729525393}
+PUBLISHED_AUC = {"champion": 0.5325576164878434, "challenger": 0.5838160919643591}
+
+
+def test_the_published_promotion(spark):
+    def side(model):
+        return spark.createDataFrame([("in", "overall", "all", None, "map", *PUBLISHED_INSIDE[model], 1000), ("mio", "overall", "all", None, "map", PUBLISHED_GATED[model], 0.0, 1.0, 1000)], METRIC)
+
+    cells = spark.createDataFrame([(m, "blur", 0, p) for m, p in PUBLISHED_AUC.items()], "model string, corruption string, severity int, point double")
+    roles = spark.createDataFrame(ROLES, "suite string, role string")
+    regressions = ga.slice_regressions(side("champion"), side("challenger"), roles)
+    clauses = ga.contract(side("champion"), side("challenger"), cells, roles)
+    row = ga.decision(clauses, regressions).first()
+    assert row.promoted and row.failed == "" and row.warnings == []
+    details = {r.clause: r.detail for r in clauses.collect()}
+    assert details["C1"] == "0.6010 -> 0.6302" and details["C2"] == "0.1368 -> 0.1514, worst drop 0.0000" and details["C4"] == "0.5326 -> 0.5838"
+
+
+def test_warnings_are_carried_in_the_order_of_axes(spark):
+    new = report(spark, **{**BETTER, "classes": (0.70, 0.20, 0.50), "night": 0.10})
+    roles = spark.createDataFrame(ROLES, "suite string, role string")
+    found = ga.slice_regressions(report(spark), new, roles)
+    assert {(r.axis, r.bucket, r.kind) for r in found.collect()} == {("class", "1", "warning"), ("weather", "night", "block")}
+    few = found.withColumn("kind", F.lit("warning"))
+    row = ga.decision(ga.contract(report(spark), new, curves(spark), roles), few).first()
+    assert not row.promoted and [w.split(":")[0] for w in row.warnings] == ["class/1", "weather/night"]

@@ -104,12 +104,13 @@ def test_unit_weights_give_the_point(spark):
     hits, image = rng.integers(0, 2, 60), rng.integers(0, 9, 60)
     n_gt = np.full(9, 5)
     plain = brute_ap([(-k, int(h)) for k, h in enumerate(hits)], 45)
-    assert abs(bs.weighted_ap(hits.astype(float), image, n_gt, np.ones((1, 9), int))[0] - plain) < 1e-12
-    draws = bs.multiplicities(9, 20, 3)
+    assert abs(bs.precision_at_points(np.ones((1, 9), int), image, hits > 0, n_gt)[0] - plain) < 1e-12
+    draws = np.stack(list(bs.times_drawn(9, 3, 0, 20)))
+    assert all((a == b).all() for a, b in zip(bs.times_drawn(9, 3, 12, 20), draws[12:], strict=True))
     assert (draws.sum(1) == 9).all()
     for k, w in enumerate(draws):
         repeated = [(-j, int(h)) for j, (h, i) in enumerate(zip(hits, image)) for _ in range(w[i])]
-        assert abs(bs.weighted_ap(hits.astype(float), image, n_gt, draws)[k] - brute_ap([(s, h) for s, h in repeated], int((w * 5).sum()))) < 1e-9
+        assert abs(bs.precision_at_points(draws, image, hits > 0, n_gt)[k] - brute_ap([(s, h) for s, h in repeated], int((w * 5).sum()))) < 1e-9
 
 
 def test_headline(spark):
@@ -181,7 +182,7 @@ def test_seeded_bootstrap_query_is_whole_and_as_a_plain_loop(spark, tmp_path):
     for r in facts:
         dets_of[r.class_id, r.iou_thr].append((-r.score, ids.index(r.image_id), r.det_ordinal, int(r.is_hit)))
     known, values = {}, []
-    for w in map(tuple, bs.multiplicities(len(ids), 2000, 0)):
+    for w in map(tuple, bs.times_drawn(len(ids), 0, 0, 2000)):
         if w not in known:
             aps = []
             for c in sorted({c for c, _ in n_gt}):

@@ -12,26 +12,26 @@ from sightline.sources import sinks as si
 
 
 def test_csv_keeps_ids_and_skips_empty_lines(spark, tmp_path):
-    (tmp_path / "gt.csv").write_text("00000000,car,1,2,3,4\n\n00000000,bus,5,6,7,8\n00000001,person,1,1,2,2\n")
+    (tmp_path / "gt.csv").write_text("0070,tram,11,2.5,33,41\n\n0070,bike,5,60,71.25,8\n0031,dog,1,0,2,9\n")
     rows = an.read_csv_boxes(spark, str(tmp_path / "gt.csv")).collect()
-    assert [r.image_id for r in rows] == ["00000000", "00000000", "00000001"] and rows[1].x2 == 7.0
+    assert [r.image_id for r in rows] == ["0070", "0070", "0031"] and rows[1].x2 == 71.25
 
 
 def test_coco(spark, tmp_path):
-    doc = {"images": [{"id": 1, "width": 9, "height": 9, "file_name": "a/b.png"}, {"id": 2, "width": 9, "height": 9, "file_name": "c.png"}], "annotations": [{"image_id": 1, "category_id": 3, "bbox": [100, 50, 20, 30]}]}
+    doc = {"images": [{"id": 41, "width": 640, "height": 360, "file_name": "day/k.png"}, {"id": 57, "width": 320, "height": 200, "file_name": "q.png"}], "annotations": [{"image_id": 41, "category_id": 17, "bbox": [12.5, 7, 81, 64]}]}
     (tmp_path / "coco.json").write_text(json.dumps(doc, indent=1))
     images, boxes = an.read_coco(spark, str(tmp_path / "coco.json"))
     b = boxes.first()
-    assert images.count() == 2 and (b.native_class, b.x1, b.y1, b.x2, b.y2) == ("3", 100, 50, 120, 80)
+    assert images.count() == 2 and (b.native_class, b.x1, b.y1, b.x2, b.y2) == ("17", 12.5, 7, 93.5, 71)
 
 
 def test_yolo_files_without_boxes_are_images(spark, tmp_path):
-    (tmp_path / "a_img00001.txt").write_text("0 0.5 0.5 0.1 0.2\n\n")
+    (tmp_path / "a_img00001.txt").write_text("1 0.25 0.75 0.05 0.4\n\n")
     (tmp_path / "a_img00002.txt").write_text("\n")
     images, boxes = an.read_yolo(spark, str(tmp_path))
     assert sorted(r.image_id for r in images.collect()) == ["a_img00001", "a_img00002"]
     b = boxes.first()
-    assert boxes.count() == 1 and np.allclose([b.x1, b.y1, b.x2, b.y2], [432, 216, 528, 324]) and b.image_id == "a_img00001"
+    assert boxes.count() == 1 and np.allclose([b.x1, b.y1, b.x2, b.y2], [216, 297, 264, 513]) and b.image_id == "a_img00001"
 
 
 def test_manifest_round_trip(spark, tmp_path):
@@ -45,9 +45,9 @@ def test_manifest_round_trip(spark, tmp_path):
 
 def test_results_log(spark, tmp_path):
     head = "epoch, train/box_loss, train/cls_loss, train/dfl_loss, metrics/mAP50-95(B), val/box_loss, val/cls_loss, val/dfl_loss"
-    (tmp_path / "r.csv").write_text(head + "\n1,1.5,1,1,0.2,2,2,1\n2,1,0.7,1,0.3,2,1,1\n")
+    (tmp_path / "r.csv").write_text(head + "\n1,2.25,0.5,4,0.61,3,1.75,0.5\n2,1.25,0.25,3,0.66,2.5,1,0.25\n")
     rows = an.read_results(spark, str(tmp_path / "r.csv")).orderBy("epoch").collect()
-    assert np.allclose([(r.train_loss, r.val_loss, r.map) for r in rows], [(3.5, 5, 0.2), (2.7, 4, 0.3)])
+    assert np.allclose([(r.train_loss, r.val_loss, r.map) for r in rows], [(6.75, 5.25, 0.61), (4.5, 3.75, 0.66)])
 
 
 def test_reports_and_configs(spark, tmp_path):
@@ -90,9 +90,9 @@ def test_frozen_folders(spark, tmp_path):
 
 def test_label_files(spark, tmp_path):
     frames = spark.createDataFrame([("a",), ("b",)], "image_id string")
-    boxes = spark.createDataFrame([("a", 2, 0, 0.0, 0.0, 960.0, 540.0), ("a", 0, 1, 432.0, 243.0, 96.0, 54.0)], "image_id string, class_id int, ordinal int, left double, top double, width double, height double")
+    boxes = spark.createDataFrame([("a", 1, 0, 96.0, 135.0, 192.0, 270.0), ("a", 2, 1, 0.0, 513.0, 48.0, 27.0)], "image_id string, class_id int, ordinal int, left double, top double, width double, height double")
     texts = si.label_texts(frames, boxes)
-    assert {r.image_id: r.label_text for r in texts.collect()} == {"a": "2 0.500000 0.500000 1.000000 1.000000\n0 0.500000 0.500000 0.100000 0.100000\n", "b": "\n"}
+    assert {r.image_id: r.label_text for r in texts.collect()} == {"a": "1 0.200000 0.500000 0.200000 0.500000\n2 0.025000 0.975000 0.050000 0.050000\n", "b": "\n"}
     assert si.write_label_files(texts, str(tmp_path / "labels")) == 2 and (tmp_path / "labels/b.txt").read_text() == "\n"
 
 
@@ -142,10 +142,10 @@ def test_corruptions():
 def test_image_tables(spark):
     rows = [("i", 12, 9, 3, bytearray(picture().tobytes())), ("j", 12, 9, 3, bytearray(picture(2).tobytes()))]
     images = spark.createDataFrame(rows, "image_id string, height int, width int, channels int, data binary")
-    regions = spark.createDataFrame([("i", 1.4, 1.6, 2.2, 2.2)], "image_id string, left double, top double, width double, height double")
+    regions = spark.createDataFrame([("i", 2.3, 4.1, 3.5, 1.7)], "image_id string, left double, top double, width double, height double")
     filled = {r.image_id: np.frombuffer(bytes(r.data), np.uint8).reshape(12, 9, 3) for r in co.black_fill(images, regions).collect()}
     want = picture()
-    want[1:4, 1:4] = 0
+    want[4:6, 2:6] = 0  # 4.1 to 5.8 down, 2.3 to 5.8 across, in whole pixels
     assert (filled["i"] == want).all() and (filled["j"] == picture(2)).all()
     out = co.corrupt_images(images, [("gaussian_noise", 2), ("brightness_up", 0)]).collect()
     assert len(out) == 4 and all(bytes(r.data) == picture(1 if r.image_id == "i" else 2).tobytes() for r in out if r.severity == 0)
