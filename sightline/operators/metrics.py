@@ -7,7 +7,7 @@ most 101 rows, the best precision at each recall point reached.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -92,41 +92,59 @@ def sliced_outcomes(matched: DataFrame, images: DataFrame, thresholds: Sequence[
     return known.withColumn("slice", F.explode(slices)).drop("outcomes", "weather", "camera").select("*", "slice.*").drop("slice")
 
 
-def _best_points(group: Sequence[str], n_thresholds: int):
-    """Of one score bin of a group: the best precision at each recall point reached, by threshold."""
+def _run_of_bin(group: Sequence[str], n_thresholds: int):
+    """One score bin of a group as one row: by threshold its hits, what counts, and how many have counted
+    by each hit."""
 
-    def points(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         table = table.take(pa.compute.sort_indices(table, sort_keys=[("score", "descending"), ("image_id", "ascending"), ("det_ordinal", "ascending")]))
         codes = np.asarray(table["outcomes"].combine_chunks().flatten()).reshape(-1, n_thresholds)
-        first = {c: np.asarray(table[c][0].values, np.float64) for c in ("tp0", "n0")}
-        tp = first["tp0"] + np.cumsum(codes == HIT, axis=0)
-        precision = tp / np.maximum(first["n0"] + np.cumsum(codes != LEFT_OUT, axis=0), 1e-12)
-        row, thr = np.nonzero(codes == HIT)  # precision only falls between hits
-        recall = tp[row, thr] / table["n_gt"][0].as_py()
-        k = np.floor(recall * 100)
-        k = np.where((k + 1) * 0.01 <= recall, k + 1, np.where(k * 0.01 <= recall, k, k - 1))
-        best = np.full((n_thresholds, POINTS), -1.0)
-        np.maximum.at(best, (thr, np.minimum(k, POINTS - 1).astype(np.int64)), precision[row, thr])
-        thr, k = np.nonzero(best >= 0)
-        keys = {g: pa.array([table[g][0].as_py()] * len(k), table.schema.field(g).type) for g in group}
-        return pa.table({**keys, "thr": thr.astype(np.int32), "k": k.astype(np.int32), "precision": best[thr, k]})
-
-    return points
+        hit, counts = codes == HIT, np.cumsum(codes != LEFT_OUT, axis=0)
+        keys = {g: table[g][:1] for g in [*group, "bin"]}
+        return pa.table({**keys, "tp": [hit.sum(0).tolist()], "n": [counts[-1].tolist()], "at": pa.array([[counts[hit[:, t], t] for t in range(n_thresholds)]], pa.list_(pa.list_(pa.int64())))})
+
+    return run
+
+
+def _best_points(group: Sequence[str]):
+    """Of each bin, now with what came before it, the best precision at each recall point reached. Only
+    hits matter: between them precision falls."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tp0, n0 = (np.asarray(batch.column(c).flatten(), np.float64) for c in ("tp0", "n0"))
+            thresholds = len(tp0) // max(batch.num_rows, 1)
+            inner = batch.column("at").flatten()
+            size = np.asarray(inner.value_lengths())
+            of = np.repeat(np.arange(len(size)), size)  # which bin and threshold a hit is of
+            tp = tp0[of] + np.arange(1, len(of) + 1) - np.repeat(np.cumsum(size) - size, size)
+            precision = tp / np.maximum(n0[of] + np.asarray(inner.flatten()), 1e-12)
+            recall = tp / np.asarray(batch.column("n_gt"), np.float64)[of // max(thresholds, 1)]
+            k = np.floor(recall * 100)
+            k = np.where((k + 1) * 0.01 <= recall, k + 1, np.where(k * 0.01 <= recall, k, k - 1))
+            best = np.full((len(size), POINTS), -1.0)
+            np.maximum.at(best, (of, np.minimum(k, POINTS - 1).astype(np.int64)), precision)
+            of, k = np.nonzero(best >= 0)
+            row = pa.array(of // max(thresholds, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(g).take(row) for g in group), pa.array((of % max(thresholds, 1)).astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(best[of, k])], names=[*group, "thr", "k", "precision"])
+
+    return scan
 
 
 def average_precisions(rows: DataFrame, totals: DataFrame, group: Sequence[str], thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """(group, iou_thr, n_gt, ap) as average_precision gives it, for all thresholds at once: `rows` has
     group, image_id, det_ordinal, score and outcomes by threshold. The order by score is the same for each,
-    so a detection is moved and sorted once."""
+    so a detection is moved and sorted once, and what is left of a bin is one row."""
     group, n = list(group), len(thresholds)
     span = F.least(F.greatest(F.floor((1 - F.col("score")) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    types = dict(rows.dtypes)
+    keys = ", ".join(f"{g} {types[g]}" for g in group)
     rows = rows.select(*group, "image_id", "det_ordinal", "score", "outcomes", span.alias("bin"))
-    sums = rows.groupBy(*group, "bin").agg(*[F.count_if(F.get("outcomes", k) == HIT).alias(f"h{k}") for k in range(n)], *[F.count_if(F.get("outcomes", k) != LEFT_OUT).alias(f"c{k}") for k in range(n)])
+    bins = rows.groupBy(*group, "bin").applyInArrow(_run_of_bin(group, n), f"{keys}, bin int, tp array<long>, n array<long>, at array<array<long>>")
     before = W.partitionBy(*group).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    counted = [F.array(*[F.coalesce(F.sum(f"{c}{k}").over(before), F.lit(0)).cast("long") for k in range(n)]).alias(name) for c, name in (("h", "tp0"), ("c", "n0"))]
-    base = sums.select(*group, "bin", *counted).join(totals.where("n_gt > 0"), group)
-    types = dict(rows.dtypes)
-    best = rows.join(base, [*group, "bin"]).groupBy(*group, "bin").applyInArrow(_best_points(group, n), ", ".join([*[f"{g} {types[g]}" for g in group], "thr int", "k int", "precision double"]))
+    counted = [F.array(*[F.coalesce(F.sum(F.get(c, k)).over(before), F.lit(0).cast("long")) for k in range(n)]).alias(f"{c}0") for c in ("tp", "n")]
+    known = bins.select(*group, *counted, "at").join(totals.where("n_gt > 0").select(*group, "n_gt"), group)
+    best = known.mapInArrow(_best_points(group), f"{keys}, thr int, k int, precision double")
     ap = _envelope_means(best.groupBy(*group, "thr", "k").agg(F.max("precision").alias("precision")), [*group, "thr"])
     every = totals.select(*group, "n_gt", F.explode(F.array(*[F.struct(F.lit(k).alias("thr"), F.lit(float(t)).alias("iou_thr")) for k, t in enumerate(thresholds)])).alias("t")).select(*group, "n_gt", "t.*")
     return every.join(ap, [*group, "thr"], "left").select(*group, "iou_thr", "n_gt", F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
