@@ -7,7 +7,6 @@ import pytest
 
 from sightline.llm.language_id import Model as Languages
 from sightline.llm.language_id import identify_languages, viterbi
-from sightline.llm.quality_lm import classify_quality
 
 from .cases import empty_table, odd_table
 
@@ -61,64 +60,6 @@ def test_viterbi_is_the_best_path():
             assert abs(value(best) - value(got[a:b].tolist())) < 1e-5
 
 
-def test_quality_keeps_what_sounds_like_the_trusted(spark):
-    good = [(i, speak("en", 120, i), "en") for i in range(150)]
-    junk = [(1000 + i, "".join(random.Random(i).choice("#$%&*!?0123XQZ ") for _ in range(200)), "en") for i in range(30)]
-    docs = spark.createDataFrame(good + junk + [(2000, None, "en"), (2001, "", None), (2002, speak("en", 100, 77), None), (None, speak("en", 90, 78), "en")], "doc_id long, text string, lang string")
-    trusted = spark.createDataFrame([(i,) for i in range(100)] + [(5,), (None,)], "doc_id long")
-    rows = {r.doc_id: r for r in classify_quality(docs, trusted).collect()}
-    assert np.mean([rows[i].kept for i in range(100, 150)]) > 0.9
-    assert not any(rows[1000 + i].kept for i in range(30))
-    assert not rows[2000].kept and not rows[2001].kept and rows[2000].perplexity is None
-    assert rows[2002].kept and "text" in rows[2002].asDict()
-    assert classify_quality(empty_table(spark), trusted).count() == 0
-    untrained = classify_quality(odd_table(spark), trusted.where("false")).collect()
-    assert all(r.kept == bool(r.text) for r in untrained)
-
-
-def test_quality_counts_every_n_gram_of_much_text(spark):
-    from collections import Counter, defaultdict
-
-    from sightline.llm.quality_lm import ORDER, VOCABULARY, train
-
-    rng = random.Random(4)
-    letters = [chr(0x4E00 + i) for i in range(300)]
-    texts = ["".join(rng.choices(letters, k=10_000)) for _ in range(60)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = train(docs, docs.select("doc_id"))
-
-    counts = Counter(t[i : i + ORDER] for t in ("^" * (ORDER - 1) + t for t in texts) for i in range(len(t) - ORDER + 1))
-    levels = []
-    for n in range(ORDER, 0, -1):
-        kinds = Counter(counts.values())
-        y = kinds[1] / (kinds[1] + 2 * kinds[2]) if kinds[1] else 0.5
-        cut = [0] + [min(max(k - (k + 1) * y * kinds[k + 1] / kinds[k], 0.05), k - 0.05) if kinds[k] and kinds[k + 1] else 0.5 for k in (1, 2, 3)]
-        total, left = defaultdict(int), defaultdict(float)
-        for g, a in counts.items():
-            total[g[:-1]] += a
-            left[g[:-1]] += cut[min(a, 3)]
-        levels.append((counts, cut, total, left))
-        counts = Counter(g[1:] for g in counts)
-
-    def log_probability(g):
-        p = 1 / VOCABULARY
-        for n in range(1, ORDER + 1):
-            counts, cut, total, left = levels[ORDER - n]
-            own = g[-n:]
-            if total.get(own[:-1]):
-                a = counts.get(own, 0)
-                p = (max(a - cut[min(a, 3)], 0) + left[own[:-1]] * p) / total[own[:-1]]
-        return np.log(max(p, 1e-12))
-
-    assert len(levels[0][0]) > 1 << 19
-    seen, unseen = texts[0][:300], "".join(rng.choices(letters + ["?"], k=300))
-    for t in (seen, unseen):
-        padded = "^" * (ORDER - 1) + t
-        want = [log_probability(padded[i : i + ORDER]) for i in range(len(t))]
-        points = np.array([1] * (ORDER - 1) + [ord(c) + 2 for c in t], np.uint64)
-        assert np.allclose(model.log_likelihood(points), want, atol=1e-4)
-
-
 def test_letters_of_all_planes_and_marks_alone(spark, spoken):
     texts = ["́̀ ̈", "\U00020000\U00020001 \U00030000", "12 ́ !", "é", "\U0001f600"]
     rows = identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spoken).orderBy("doc_id").collect()
