@@ -224,7 +224,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     text = F.coalesce("text", F.lit(""))
     docs = docs.withColumn(digest, F.md5(text.cast("binary")))
     found = find_hits(docs.select(F.col(digest).alias("digest"), "text").where("text is not null"), benchmark, window, gram, filter_bits)
-    found = found.select(F.col("digest").alias(found_digest), "n_hit", F.col("spans").alias(spans), "items")
+    # Written first: Spark splits hot keys of a join between two exchanges, not of one on top of a sum.
+    found = materialize(found.select(F.col("digest").alias(found_digest), "n_hit", F.col("spans").alias(spans), "items"), "found")
     # The text takes no part in the exchange where nothing after it needs it.
     counted = docs.withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long")).withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long")))
     out = counted.join(found, F.col(digest) == F.col(found_digest), "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<long>"))})
