@@ -1,6 +1,7 @@
 """Signature rules for licences, over lower-case words joined by single spaces.
 
-Each rule is (priority, label, keyword, pattern): `pattern` is a regular expression in which the
+Notices and clauses are written out in license_texts; the tables here make the rules for licences that a text
+only names, by family, version and spelling. Each rule is (priority, label, keyword, pattern): `pattern` is a regular expression in which the
 keyword, marked by @, stands once; it is only tried where that word occurs. Punctuation is gone by
 then: "CC BY-NC 4.0" is "cc by nc 4 0". A higher priority is a more exact reading.
 """
@@ -9,6 +10,8 @@ from __future__ import annotations
 
 import re
 
+from .license_texts import wording
+
 UNDER = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered) (?:for use )?under (?:the |an? )?(?:terms (?:and conditions )?of (?:the )?)?"
 OR_LATER = r"(?: or (?:later|newer|any later version|at your option any later version))?"
 LICENCE = r"licen[sc]e"
@@ -70,12 +73,7 @@ CC_KINDS: list[tuple[str, str, str]] = [
 CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
 #: priority, label, keyword, pattern
 PHRASES: list[tuple[int, str, str, str]] = [
-    (60, "mit", "granted", r"permission is hereby @granted free of charge to any person obtaining a copy"),
-    (60, "isc", "granted", r"distribute this software for any purpose with or without fee is hereby @granted"),
     (60, "bsd", "redistribution", r"@redistribution and use in source and binary forms"),
-    (60, "apache-2.0", "apache", r"(?:http|https) www @apache org licenses license 2 0"),
-    (60, "gpl", "gnu", r"(?:http|https) www @gnu org (?:licenses|copyleft) gpl"),
-    (60, "lgpl", "gnu", r"(?:http|https) www @gnu org (?:licenses|copyleft) lesser"),
     (60, "unlicense", "unencumbered", r"free and @unencumbered software released into the public domain"),
     (60, "unlicense", "unlicense", r"(?:the )?@unlicense"),
     (50, "public-domain", "domain", r"(?:released|dedicated|placed) (?:in|into|to) the public @domain"),
@@ -94,8 +92,8 @@ PHRASES: list[tuple[int, str, str, str]] = [
 
 
 def rules() -> list[tuple[int, str, str, str]]:
-    """All rules, from the tables above; several hundred patterns."""
-    out = list(PHRASES)
+    """All rules: the wording of notices and clauses, and names from the tables above."""
+    out = [*wording(), *PHRASES]
     for word in ("license", "licence"):
         for label, words, versions, short in FAMILIES:
             out.append((30, label, word, rf"(?:the )?{words} @{word}"))

@@ -14,6 +14,8 @@ score of 0. Rows are worked on one by one.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +64,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     docs = docs.drop(*added, "__words", "__hits", "__base", "__found").withColumn("text", F.col("text").cast("string"))
     table = rules()
     keywords = sorted({k for _, _, k, _ in table} | {"license", "cc"})
-    by_word = F.create_map(*[x for k in keywords for x in (F.lit(k), F.array(*[_struct(priority=F.lit(p), label=F.lit(name), need=F.lit(needed_word(word, pattern)), pattern=F.lit(rf"(?:^| )({pattern})(?= |$)")) for p, name, word, pattern in table if word == k]) if any(w == k for _, _, w, _ in table) else F.array().cast("array<struct<priority:int,label:string,need:string,pattern:string>>"))])
+    # One literal, whatever the number of rules; it is read once a plan.
+    listed = {k: [{"priority": p, "label": name, "need": needed_word(word, pattern), "pattern": rf"(?:^| )({pattern})(?= |$)"} for p, name, word, pattern in table if word == k] for k in keywords}
+    by_word = F.from_json(F.lit(json.dumps(listed)), "map<string,array<struct<priority:int,label:string,need:string,pattern:string>>>")
 
     clean = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     out = docs.withColumn("__words", F.regexp_extract_all(clean, F.lit(f"({WORD})"), F.lit(1)))

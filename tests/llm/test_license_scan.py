@@ -1,6 +1,7 @@
 import re
 
 from sightline.llm.license_rules import needed_word, rules
+from sightline.llm.license_texts import wording
 from sightline.llm.license_scan import REACH, scan_licenses
 
 from .cases import empty_table, odd_rows, odd_table
@@ -35,7 +36,7 @@ def brute(text):
 
 
 def test_rules_are_many_and_sound():
-    assert len(TABLE) > 300
+    assert len(TABLE) > 900
     for _, _, keyword, pattern in TABLE:
         re.compile(pattern)
         assert pattern.count("@") == 1 and f"@{keyword}" in pattern and needed_word(keyword, pattern)
@@ -56,3 +57,33 @@ def test_native_and_empty(spark):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert scan_licenses(empty_table(spark)).count() == 0
+
+
+def sample(pattern):
+    """A text that the pattern means."""
+    out = re.sub(r"\(\?:\[\^ \]\+ \)\{(\d),\d\}", lambda m: "word " * int(m[1]), pattern)
+    while (flat := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\??)", lambda m: "" if m[2] else m[1], out)) != out:
+        out = flat
+    out = out.replace("[^ ]+", "word").replace("[0-9]+", "7").replace("[1-4]", "4").replace("[05]", "0")
+    return re.sub(r".\?", "", re.sub(r"\.\{0,\d+\}", "", out)).strip()
+
+
+def test_each_wording_is_found_and_without_a_word_is_not(spark):
+    lines = wording()
+    assert len(lines) > 170
+    texts = []
+    for _, label, keyword, pattern in lines:
+        words = sample(pattern).split(" ")
+        at = next(i for i, w in enumerate(words) if w.startswith("@"))
+        assert max(at, len(words) - at - 1) <= REACH and words[at] == f"@{keyword}", pattern
+        near = at - 1 if at else at + 1
+        bent = [*words[:near], "zzz", *words[near + 1 :]]
+        rule = re.compile(rf"(?:^| )({pattern})(?= |$)")
+        assert rule.search(" ".join(words)) and not rule.search(" ".join(bent)), pattern
+        assert needed_word(keyword, pattern) in " ".join(words), pattern
+        texts.append("So: " + " ".join(words).replace("@", "").upper() + ".")
+    done = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in done.collect():
+        priority, label, _, pattern = lines[r.doc_id]
+        best = max((m.priority for m in r.matches), default=0)
+        assert label in r.labels or best > priority or any(m.label != label and m.priority >= priority and m.end - m.start >= len(sample(pattern).split()) for m in r.matches), (label, r.labels)
