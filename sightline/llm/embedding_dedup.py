@@ -40,11 +40,19 @@ COSINE = 0.9
 #: Vectors of a cell that pivots aim at, pivots at most, and rows of a block.
 CELL_ROWS = 4096
 PIVOTS = 4096
+#: Cells at least, so that small tables are joined the same way.
+LEAST_CELLS = 16
 BLOCK_ROWS = 8192
 #: What single precision may be off by.
 MARGIN = 1e-4
 
 
+def levelled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to about 1: norms and products of any
+    finite vectors then neither over- nor underflow, and cosines stay the same to the last bit."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0))[1][:, None])
+
+
 def _cells(batch: pa.RecordBatch, by_dim: dict, radius: float):
     """For the vectors of each length: (length, rows, vectors, (row, cell) pairs, home cells)."""
     lists = batch.column("vec")
@@ -52,8 +60,10 @@ def _cells(batch: pa.RecordBatch, by_dim: dict, radius: float):
     for dim in np.unique(dims):
         on = np.flatnonzero(dims == dim)
         raw = np.asarray(lists.take(pa.array(on)).flatten(), np.float64).reshape(-1, dim)
-        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        unit = levelled(raw)
+        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
         base, points = by_dim.get(int(dim), (0, unit[:1]))
+        points = levelled(points)
         points = points / np.linalg.norm(points, axis=1, keepdims=True)
         gap = np.sqrt(np.maximum(2 - 2 * points @ points.T, 0))
         for lo in range(0, len(raw), 2048):
@@ -132,6 +142,7 @@ def _join(cosine: float):
         left = _unpack(table.filter(pa.compute.equal(table["side"], 0)), dim)
         right = left if alone else _unpack(table.filter(pa.compute.equal(table["side"], 1)), dim)
         (ra, ca, a), (rb, copies, b) = left, right
+        a, b = levelled(a), levelled(b)
         la, lb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         ua, ub = (a / la[:, None]).astype(np.float32), (b / lb[:, None]).astype(np.float32)
         links, back = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
@@ -167,7 +178,7 @@ def _join(cosine: float):
                     p, q = find(x), find(y)
                     parent[max(p, q)] = min(p, q)
                 owner[mine[known < 0]] = x
-        tree = np.array([find(x) for x in range(len(ra))])
+        tree = np.array([find(x) for x in range(len(ra))], np.int64)  # a block may be empty
         on = np.flatnonzero(owner >= 0)
         root = np.full(len(ra), np.iinfo(np.int64).max)
         np.minimum.at(root, tree, ra)
@@ -188,7 +199,7 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, cell_rows:
 
     # A bounded sample: as many pivots as cells are wanted, dealt to the lengths that occur.
     total = classes.count()
-    wanted = max(1, min(PIVOTS, -(-total // cell_rows)))
+    wanted = max(min(LEAST_CELLS, max(total, 1)), min(PIVOTS, -(-total // cell_rows)))
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("vec").collect()
     by_dim: dict[int, list] = {}
     for r in sample:

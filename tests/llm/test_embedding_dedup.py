@@ -54,3 +54,9 @@ def test_as_brute_force_with_few_and_many_cells(spark):
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+def test_tiny_and_huge_components_neither_under_nor_overflow(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [2e-200, 2e-200]), (3, [1e200, 1e200]), (4, [1.0, -1.0]), (5, [3e-300, -3e-300]), (6, [5e-324, 0.0]), (7, [1e308, 0.0])]
+    done = {r.vec_id: (r.n_links, r.component_id) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert done == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
