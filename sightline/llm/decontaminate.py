@@ -164,7 +164,7 @@ def find_hits(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram
     for r in prints.mapInArrow(_filter_words(filter_bits), "place int, bits long").groupBy("place").agg(F.expr("bit_or(bits)").alias("bits")).toPandas().itertuples():
         bits[r.place] = np.int64(r.bits).view(np.uint64)
     sizes = sorted(r["n"] for r in items.select("n").distinct().collect())  # one for each length of a window
-    seeds = texts.mapInArrow(_candidates(spark.sparkContext.broadcast(bits), sizes, window, gram), "digest string, n int, print long, at long, wins array<long>")
+    seeds = texts.mapInArrow(tx.released(_candidates(spark.sparkContext.broadcast(bits), sizes, window, gram)), "digest string, n int, print long, at long, wins array<long>")
     shared = seeds.join(prints, ["n", "print"], "left_semi")
     around = shared.select("digest", "n", "at", F.posexplode("wins").alias("k", "win")).selectExpr("digest", "n", "at + k as at", "win")
     hits = materialize(around.join(items.select("n", "win").distinct(), ["n", "win"], "left_semi").distinct(), "hits")
@@ -233,4 +233,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     if not excise:
         return plain
     whole = out.select(*plain.columns, spans)
-    return whole.mapInArrow(_cut(whole.columns.index("text"), len(whole.columns) - 1, window, plain.columns), plain.schema)
+    return whole.mapInArrow(tx.released(_cut(whole.columns.index("text"), len(whole.columns) - 1, window, plain.columns)), plain.schema)

@@ -210,10 +210,10 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, pe
     a = classes.selectExpr("sig as a", "n as n_a", "doc as doc_a", "bits as bits_a")
     b = classes.selectExpr("sig as b", "n as n_b", "doc as doc_b", "bits as bits_b")
     near = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    near = materialize(near.mapInArrow(_discard(percent), "a long, b long, doc_a long, doc_b long"), "near")
+    near = materialize(near.mapInArrow(tx.released(_discard(percent)), "a long, b long, doc_a long, doc_b long"), "near")
     with_a = near.join(texts.withColumnRenamed("text", "text_a"), near["doc_a"] == texts["doc_id"]).drop("doc_id")
     both = with_a.join(texts.withColumnRenamed("text", "text_b"), with_a["doc_b"] == texts["doc_id"]).select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInArrow(_count(size, percent), "a long, b long"), "links")
+    return materialize(both.mapInArrow(tx.released(_count(size, percent)), "a long, b long"), "links")
 
 
 def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -221,7 +221,7 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     if not 50 <= percent <= 100:
         raise ValueError("percent is from 50 to 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(docs.mapInArrow(_measure(size), "doc_id long, n long, sig long, bits binary, shingle long, df long"), "sets")
+    sets = materialize(docs.mapInArrow(tx.released(_measure(size)), "doc_id long, n long, sig long, bits binary, shingle long, df long"), "sets")
     measured = sets.where("shingle is null").select("doc_id", "n", "sig", "bits")
     # Shingles of one document in a thousand: at most a thousand times as many as a document has.
     total = measured.count()
@@ -234,7 +234,7 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     real = measured.where("doc_id is not null and n > 0")
     classes = materialize(real.groupBy("sig", "n").agg(F.min("doc_id").alias("doc"), F.first("bits").alias("bits")), "classes")
     texts = docs.where("doc_id is not null and text is not null")
-    tokens = texts.select("text").mapInArrow(_prefixes(size, percent, frequent), "token long, sig long, n long, at long, rare long")
+    tokens = texts.select("text").mapInArrow(tx.released(_prefixes(size, percent, frequent)), "token long, sig long, n long, at long, rare long")
     shared = tokens.groupBy("token").agg(F.min_by("sig", "rare").alias("hub"), F.min("sig").alias("low"), F.max("sig").alias("top")).where("low < top").select("token", "hub")
     # Written first: Spark splits hot keys of a join between two exchanges, not of one on top of a sum.
     shared = materialize(shared, "shared")

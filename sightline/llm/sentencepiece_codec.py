@@ -34,7 +34,7 @@ SPACE = "▁"
 #: Segments up to this many characters are merged side by side in a matrix.
 SHORT = 48
 #: Distinct segments a worker remembers before it forgets those used less than OFTEN times.
-REMEMBERED, OFTEN = 400_000, 3
+REMEMBERED, OFTEN = 250_000, 3
 NONE = np.iinfo(np.int32).max
 
 

@@ -157,7 +157,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     if not gram < window <= gram + 60:
         raise ValueError("the window may be longer than the anchor by 1 to 60 words")
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    seeds = texts.mapInArrow(_seeds(window, gram), "anchor long, run long, doc_id long")
+    seeds = texts.mapInArrow(tx.released(_seeds(window, gram)), "anchor long, run long, doc_id long")
     shared = (
         seeds.groupBy("anchor")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("run").alias("r0"), F.max("run").alias("r1"))
@@ -175,7 +175,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     )
     # Only the class's smallest document is extended window by window.
     firsts = classes.where("several").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
-    windows = materialize(texts.join(firsts, "doc_id").select("doc_id", "text", "runs").mapInArrow(_windows(window, gram), "anchor long, win long, doc_id long, run long, bit long").distinct(), "windows")
+    windows = materialize(texts.join(firsts, "doc_id").select("doc_id", "text", "runs").mapInArrow(tx.released(_windows(window, gram)), "anchor long, win long, doc_id long, run long, bit long").distinct(), "windows")
     least = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor", "win", "least")
     ends = (
         windows.join(least, ["anchor", "win"])
@@ -195,4 +195,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     cuts = find_repeats(docs, window, gram).select(F.col("doc_id").alias(cut_id), F.col("cuts").alias(listed))
     told = docs.join(cuts, F.col("doc_id") == F.col(cut_id), "left").drop(cut_id)
     names = [*docs.columns, "n_words", "n_removed"]
-    return told.mapInArrow(_cut(window, gram, docs.columns.index("text"), names), extended(docs.schema, "n_words long, n_removed long"))
+    return told.mapInArrow(tx.released(_cut(window, gram, docs.columns.index("text"), names)), extended(docs.schema, "n_words long, n_removed long"))

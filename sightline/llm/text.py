@@ -7,6 +7,7 @@ wide and do not depend on where in a batch a word stands.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,27 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker waits for its next task with what its last
+    one needed, and on a small executor the next stage needs that."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(scan):
+    """A function over batches that releases memory after the last one."""
+
+    def run(batches):
+        yield from scan(batches)
+        release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit lanes: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):

@@ -470,4 +470,4 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame) -> D
     docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
     model = docs.sparkSession.sparkContext.broadcast(fit(training, labels))
     schema = extended(docs.schema, "score double")
-    return docs.mapInArrow(_score(model, docs.columns.index("text"), schema.names), schema)
+    return docs.mapInArrow(tx.released(_score(model, docs.columns.index("text"), schema.names)), schema)
