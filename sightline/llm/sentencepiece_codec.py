@@ -325,7 +325,7 @@ def _run(model: str, text_at: int, names: list[str]):
         own = codec(model)
         for whole in batches:
             _, offsets = tx.utf8(whole.column(text_at))
-            for lo, hi in tx.chunks(offsets):
+            for lo, hi in tx.chunks(offsets, tx.SMALL_CHUNK):
                 batch = whole.slice(lo, hi - lo)
                 texts = batch.column(text_at).fill_null("").to_pylist()
                 ids, at, same = own.encode(texts)
@@ -340,4 +340,4 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
     `docs` with these names are replaced. `model` is a path that every executor has."""
     docs = docs.drop("ids", "decoded", "agreed").withColumn("text", F.col("text").cast("string"))
     schema = extended(docs.schema, "ids array<int>, decoded string, agreed boolean")
-    return docs.mapInArrow(_run(model, docs.columns.index("text"), schema.names), schema)
+    return docs.mapInArrow(tx.released(_run(model, docs.columns.index("text"), schema.names)), schema)

@@ -63,7 +63,7 @@ def _seeds(window: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, words in tx.batches_of_words(batch.column(1), tx.SPACES, lower=False):
+            for lo, _, words in tx.batches_of_words(batch.column(1), tx.SPACES, lower=False, limit=tx.SMALL_CHUNK):
                 runs = seed_runs(words, window, gram)
                 if len(runs["row"]):
                     yield pa.RecordBatch.from_arrays([pa.array(runs["anchor"]), pa.array(runs["run"]), pa.array(ids[lo + runs["row"]].astype(np.int64))], names=["anchor", "run", "doc_id"])
@@ -101,7 +101,7 @@ def _windows(window: int, gram: int):
         for batch in batches:
             ids = np.asarray(batch.column(0))
             owner, (anchor, run) = _listed(batch.column(2), ["anchor", "run"])
-            for lo, hi, words in tx.batches_of_words(batch.column(1), tx.SPACES, lower=False):
+            for lo, hi, words in tx.batches_of_words(batch.column(1), tx.SPACES, lower=False, limit=tx.SMALL_CHUNK):
                 mine = np.flatnonzero((owner >= lo) & (owner < hi))
                 runs = seed_runs(words, window, gram)
                 hit, _ = _find(_key(runs["row"], runs["anchor"], runs["run"]), _key(owner[mine] - lo, anchor[mine], run[mine]))
@@ -125,7 +125,7 @@ def _cut(window: int, gram: int, text_at: int, names: list[str]):
                 continue
             owner, (anchor, run, mask) = _listed(batch.column(batch.num_columns - 1), ["anchor", "run", "mask"])
             texts, totals, removed = [], [], []
-            for lo, hi, words in tx.batches_of_words(batch.column(text_at), tx.SPACES, lower=False):
+            for lo, hi, words in tx.batches_of_words(batch.column(text_at), tx.SPACES, lower=False, limit=tx.SMALL_CHUNK):
                 n = len(words.starts)
                 keep = np.ones(n, bool)
                 mine = np.flatnonzero((owner >= lo) & (owner < hi))

@@ -17,6 +17,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that are worked on at a time; a longer single text is taken whole.
 CHUNK_BYTES = 2_000_000
+#: The same where a batch's parts have no say in the result, so that they can be small.
+SMALL_CHUNK = 500_000
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -163,10 +165,10 @@ def find_words(raw: np.ndarray, offsets: np.ndarray, separators: bytes, lower: b
     return Words(data, starts, ends, np.searchsorted(starts, offsets, "left"))
 
 
-def batches_of_words(column: pa.Array, separators: bytes, lower: bool) -> Iterator[tuple[int, int, Words]]:
+def batches_of_words(column: pa.Array, separators: bytes, lower: bool, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) for each bounded part of the column."""
     raw, offsets = utf8(column)
-    for lo, hi in chunks(offsets):
+    for lo, hi in chunks(offsets, limit):
         a = offsets[lo]
         yield lo, hi, find_words(raw[a : offsets[hi]], offsets[lo : hi + 1] - a, separators, lower)
 
