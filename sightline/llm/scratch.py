@@ -25,10 +25,25 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where this application's tables go."""
+    return f"{scratch_folder(spark)}/sightline/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Remove every table that this application has written to the shared folder; False if there was none.
+    Call it when all results are written: DataFrames that read these tables fail from then on. Other
+    applications' tables stay."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back: cuts the lineage, and what is written outlives lost
-    executors. The table takes its plan's partitioning; nothing is pulled to the driver."""
-    path = f"{scratch_folder(df.sparkSession)}/sightline/{name}-{uuid.uuid4().hex}"
+    executors. The table takes its plan's partitioning; nothing is pulled to the driver. It stays until
+    drop_scratch."""
+    path = f"{application_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
