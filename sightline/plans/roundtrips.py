@@ -6,11 +6,7 @@ in a folder of this process that is removed at its end.
 
 from __future__ import annotations
 
-import atexit
 import io
-import shutil
-import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,25 +19,10 @@ from ..operators import splits as sp
 from ..operators import taxonomy as ta
 from ..sources import annotations as an
 from ..sources import sinks as si
+from ..sources.shared import folder
 from . import views as v
 from .queries import METRICS, NEW_SQL, POOL_SQL, V, _metrics, query, r6
 
-_own: list[str] = []
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="sightline-files-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        top = "file://" + _own[0]
-    return f"{top}/sightline-files/{name}-{uuid.uuid4().hex}"
-
-
 def _documents(spark: SparkSession, rows: DataFrame, by: str, name: str) -> str:
     """One file for each row of (by, value)."""
     path = folder(spark, name)

@@ -164,6 +164,36 @@ def test_clusters_and_nearest(spark):
     assert {r.b for r in near} == {3, 6}
 
 
+@pytest.mark.parametrize("block", [4, 7, 1000])
+def test_features_in_blocks_are_as_plain_loops(spark, block):
+    rng = np.random.default_rng(12)
+    vecs = {int(i): v for i, v in enumerate(rng.normal(size=(30, 6)))}
+    vecs |= {30: vecs[2], 31: vecs[2], 32: np.full(6, 2.5)}  # copies tie, a constant is like nothing
+    rows = [(i, v.tolist()) for i, v in vecs.items()] + [(33, None)]
+    f = spark.createDataFrame(rows, "id long, vec array<double>")
+
+    def corr(i, j):
+        x, y = (vecs[k] - vecs[k].mean() for k in (i, j))
+        return round(float((x * y).mean() / (x.std() * y.std())) if x.std() > 1e-9 and y.std() > 1e-9 else 0.0, 9)
+
+    expect = {(i, j): corr(i, j) for i in vecs for j in vecs if i < j}
+    assert {(r.a, r.b): round(r["corr"], 9) for r in fe.correlations(f, block=block).collect()} == pytest.approx(expect, abs=1e-8)
+    top = {(i, j) for i in range(8) for j in sorted(set(vecs) - {i}, key=lambda j: (-corr(min(i, j), max(i, j)), j))[:3]}
+    got = fe.nearest(f, f.where("id < 8").select("id"), f.select("id"), 3, block).collect()
+    assert {(r.a, r.b) for r in got} == top and {r.place for r in got} == {1, 2, 3}
+    label = {i: i for i in [*vecs, 33]}
+    for _ in vecs:
+        for (i, j), c in expect.items():
+            if c > 0.7:
+                label[i] = label[j] = min(label[i], label[j])
+    assert {r.id: r.cluster for r in fe.clusters(f, 0.7, block).collect()} == label
+
+
+def test_features_of_empty_tables(spark):
+    none = spark.createDataFrame([], "id long, vec array<double>")
+    assert fe.clusters(none).collect() == fe.correlations(none).collect() == fe.nearest(none, none.select("id"), none.select("id")).collect() == []
+
+
 def test_label_suite_and_ignore_round_trip(spark, tmp_path):
     from sightline.operators.splits import group_table
 
