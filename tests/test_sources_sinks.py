@@ -169,7 +169,7 @@ def test_features_in_blocks_are_as_plain_loops(spark, block):
     rng = np.random.default_rng(12)
     vecs = {int(i): v for i, v in enumerate(rng.normal(size=(30, 6)))}
     vecs |= {30: vecs[2], 31: vecs[2], 32: np.full(6, 2.5)}  # copies tie, a constant is like nothing
-    rows = [(i, v.tolist()) for i, v in vecs.items()] + [(33, None)]
+    rows = [(i, v.tolist()) for i, v in vecs.items()] + [(33, None), (34, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (35, [float("nan")] * 6)]
     f = spark.createDataFrame(rows, "id long, vec array<double>")
 
     def corr(i, j):
@@ -181,7 +181,7 @@ def test_features_in_blocks_are_as_plain_loops(spark, block):
     top = {(i, j) for i in range(8) for j in sorted(set(vecs) - {i}, key=lambda j: (-corr(min(i, j), max(i, j)), j))[:3]}
     got = fe.nearest(f, f.where("id < 8").select("id"), f.select("id"), 3, block).collect()
     assert {(r.a, r.b) for r in got} == top and {r.place for r in got} == {1, 2, 3}
-    label = {i: i for i in [*vecs, 33]}
+    label = {i: i for i in [*vecs, 33, 34, 35]}
     for _ in vecs:
         for (i, j), c in expect.items():
             if c > 0.7:
