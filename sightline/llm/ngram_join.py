@@ -44,6 +44,8 @@ PERCENT = 85
 SPARSE = 4
 #: Frequent shingles that are told apart in the order: a bounded table, 16 bytes an entry.
 FREQUENT = 1 << 16
+#: Bits of the filter of documents whose texts are compared.
+FILTER_BITS = 1 << 24
 #: Pairs of texts that a task holds the sets of.
 PAIRS = 400
 
@@ -205,12 +207,24 @@ def _count(size: int, percent: int):
     return scan
 
 
+def _texts_of(near: DataFrame, texts: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The texts of pairs, found by a bit filter of their documents, so that the others are not exchanged.
+    A full filter lets all through and changes no result."""
+    place = f"pmod(xxhash64(%s), {filter_bits})"
+    bit = "shiftleft(1L, cast({0} % 64 as int))"
+    wanted = near.selectExpr("explode(array(doc_a, doc_b)) as doc").selectExpr(f"{place % 'doc'} as at")
+    words = wanted.groupBy(F.expr("at div 64").alias("word")).agg(F.expr(f"bit_or({bit.format('at')})").alias("bits"))
+    found = F.expr(f"{place % 'doc_id'} div 64 = word and bits & {bit.format(place % 'doc_id')} <> 0")
+    return texts.join(F.broadcast(words), found, "left_semi")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) of classes, those that reach the threshold."""
     a = classes.selectExpr("sig as a", "n as n_a", "doc as doc_a", "bits as bits_a")
     b = classes.selectExpr("sig as b", "n as n_b", "doc as doc_b", "bits as bits_b")
     near = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     near = materialize(near.mapInArrow(tx.released(_discard(percent)), "a long, b long, doc_a long, doc_b long"), "near")
+    texts = _texts_of(near, texts)
     with_a = near.join(texts.withColumnRenamed("text", "text_a"), near["doc_a"] == texts["doc_id"]).drop("doc_id")
     both = with_a.join(texts.withColumnRenamed("text", "text_b"), with_a["doc_b"] == texts["doc_id"]).select("a", "b", "text_a", "text_b")
     return materialize(both.mapInArrow(tx.released(_count(size, percent)), "a long, b long"), "links")

@@ -78,3 +78,12 @@ def test_sketches_never_claim_too_much():
         sketch = [nj.sketches(np.zeros(len(v), int), v, np.array([0, len(v)])) for v in (a, b)]
         x, y = nj.least_differences(*sketch)
         assert x[0] <= len(np.setdiff1d(a, b)) and y[0] <= len(np.setdiff1d(b, a))
+
+
+def test_only_texts_of_pairs_are_exchanged(spark):
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    near = spark.createDataFrame([(0, 0, 7, -1), (0, 0, 7, 2999), (0, 0, 64, 128)], "a long, b long, doc_a long, doc_b long")
+    picked = {r.doc_id for r in nj._texts_of(near, texts).collect()}
+    assert {7, 64, 128, 2999} <= picked and len(picked) < 50
+    assert {7, 64, 128, 2999} <= {r.doc_id for r in nj._texts_of(near, texts, 64).collect()}
+    assert nj._texts_of(near.where("a > 0"), texts).count() == 0
