@@ -1,14 +1,17 @@
 """Similarity join on word shingles: Jaccard at or above a threshold, as exact components.
 
 Documents by shingles form a sparse 0/1 matrix; its product with its transpose holds the overlap
-of every two documents. The product is taken in blocks, one for each shingle column, and entries
+of every two documents. The product is taken in blocks, one for each part of a set, and entries
 that cannot reach the threshold are discarded from bounds on the sizes of the two sets:
 
 1. Documents with equal sets are one class, known by a hash of the set.
-2. All sets are ordered alike, rare shingles first. A set of n shingles that reaches the threshold
-   with another shares one of its first n - ceil(t * n) + 1, so only those columns are kept, and of
-   them those in which two classes meet. (Which shingles are frequent only decides the order; any
-   order gives the same links.)
+2. Sets that reach the threshold differ in a bounded number d of shingles. The hash range is cut into
+   parts, more than d of which hold shingles of a set; so two such sets have the whole content of a part
+   in common, and one of the first d + 1 in any order. These contents are the columns. Texts that have a
+   passage in common, but not most of their words, seldom agree in all of a part. Sets with too few parts
+   meet each other by their first n - ceil(t * n) + 1 shingles in a common order, frequent ones last.
+   Only columns in which two classes meet are kept. (Which shingles are frequent only decides what is
+   left out of parts and comes last; any choice gives the same links.)
 3. Each block first holds every class against its hub, the class with the fewest rare shingles: as
    many candidates as rows. A pair goes on while the sizes, and then bit sketches of the two sets, leave room for the
    overlap that the threshold asks for; then the overlap of the whole sets is counted.
@@ -46,6 +49,8 @@ SPARSE = 4
 FREQUENT = 1 << 16
 #: Bits of the filter of documents whose texts are compared.
 FILTER_BITS = 1 << 24
+#: Sizes at which classes of sizes begin: in each, sets are cut into equally many parts.
+LEVELS = 3 ** np.arange(34, dtype=np.int64)
 #: Pairs of texts that a task holds the sets of.
 PAIRS = 400
 
@@ -140,10 +145,50 @@ def _measure(size: int):
     return scan
 
 
-def _prefixes(size: int, percent: int, frequent):
-    """(token, sig, n, at, rare): the first shingles of each set in the common order. `rare` orders
-    sets by how many of their shingles are not frequent, then by hash: the smallest of a block is the
-    set with least of its own, to which most others of the block are near."""
+def block_keys(row: np.ndarray, value: np.ndarray, first: np.ndarray, late: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row): keys of which two sets that reach the threshold have one in common.
+
+    The hash range is cut into parts, as many for all sets of a class of sizes, and a key is the whole
+    content of a part, leaving out frequent shingles (those with `late` > 0). Sets that reach the threshold
+    differ in at most d shingles, so in at most d parts: of more than d parts that are not empty one is
+    alike, and one of the first d + 1 in any common order; parts with many shingles come first. A set with
+    fewer parts has them all for keys, and its first single shingles, by which it meets its like."""
+    n = np.diff(first)
+    level = np.searchsorted(LEVELS, n, "right")
+    keys, rows = [], []
+    short = np.zeros(len(n), bool)
+    for step in (0, 1):  # a pair meets in the class of its larger set
+        on = n > 0 if step == 0 else 100 * n >= percent * LEVELS[level]
+        top = LEVELS[level + step] - 1
+        differ = (100 - percent) * (n + np.minimum(100 * n // percent, top)) // (100 + percent)
+        parts = 1 + 14 * 2 * (100 - percent) * top // (10 * (100 + percent))
+        at = np.flatnonzero(on[row] & (late == 0))
+        r, v = row[at], value[at]
+        part = ((v >> np.uint64(33)) * parts[r].astype(np.uint64)) >> np.uint64(31)
+        starts = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (part[1:] != part[:-1])))) if len(r) else np.zeros(0, np.int64)
+        count = np.diff(np.concatenate((starts, [len(r)])))
+        r = r[starts]
+        short |= on & (np.bincount(r, minlength=len(n)) <= differ)
+        with np.errstate(over="ignore"):
+            key = tx.mix((np.add.reduceat(tx.mix(v), starts) if len(v) else v) + top[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.lexsort((key, -count, r))
+        r, key = r[order], key[order]
+        use = np.arange(len(r)) - np.searchsorted(r, r, "left") <= differ[r]
+        keys.append(key[use])
+        rows.append(r[use])
+    at = np.flatnonzero(short[row])
+    at = at[np.lexsort((value[at], late[at], row[at]))]
+    r = row[at]
+    use = np.arange(len(r)) - np.searchsorted(r, r, "left") <= n[r] + (-percent * n[r] // 100)
+    keys.append(tx.mix(value[at][use]))
+    rows.append(r[use])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _blocks(size: int, percent: int, frequent):
+    """(token, sig, n, rare): the keys of each set. `rare` orders sets by how many of their shingles are
+    not frequent, then by hash: the smallest of a block is the set with least of its own, to which most
+    others of the block are near."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = frequent.value
@@ -155,15 +200,12 @@ def _prefixes(size: int, percent: int, frequent):
                 at = np.searchsorted(known, value)
                 at[at == len(known)] = 0
                 late = np.where(known[at] == value, rank[at] + 1, 0) if len(known) else np.zeros(len(value), np.int64)
-                order = np.lexsort((value, late, row))
                 n = np.diff(first)
-                keep = n - -(-percent * n // 100) + 1
-                place = np.arange(len(row)) - first[row]
-                on = np.flatnonzero(place < keep[row])
                 sig = signatures(value, first)
                 own = np.minimum(np.bincount(row[late == 0], minlength=len(n)), (1 << 22) - 1).astype(np.uint64)
                 rare = (own << np.uint64(40)) | (sig >> np.uint64(24))
-                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(value[order[on]])), pa.array(tx.signed(sig[row[on]])), pa.array(n[row[on]]), pa.array(place[on]), pa.array(tx.signed(rare[row[on]]))], names=["token", "sig", "n", "at", "rare"])
+                key, on = block_keys(row, value, first, late, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key)), pa.array(tx.signed(sig[on])), pa.array(n[on]), pa.array(tx.signed(rare[on]))], names=["token", "sig", "n", "rare"])
 
     return scan
 
@@ -248,7 +290,7 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     real = measured.where("doc_id is not null and n > 0")
     classes = materialize(real.groupBy("sig", "n").agg(F.min("doc_id").alias("doc"), F.first("bits").alias("bits")), "classes")
     texts = docs.where("doc_id is not null and text is not null")
-    tokens = texts.select("text").mapInArrow(tx.released(_prefixes(size, percent, frequent)), "token long, sig long, n long, at long, rare long")
+    tokens = texts.select("text").mapInArrow(tx.released(_blocks(size, percent, frequent)), "token long, sig long, n long, rare long")
     shared = tokens.groupBy("token").agg(F.min_by("sig", "rare").alias("hub"), F.min("sig").alias("low"), F.max("sig").alias("top")).where("low < top").select("token", "hub")
     # Written first: Spark splits hot keys of a join between two exchanges, not of one on top of a sum.
     shared = materialize(shared, "shared")
@@ -259,17 +301,14 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     roots = components(links)
 
     # Blocks in which several components still meet.
-    part = blocks.join(roots, blocks["sig"] == roots["node"], "left").selectExpr("token", "sig", "hub", "n", "at", "coalesce(root, sig) as part")
+    part = blocks.join(roots, blocks["sig"] == roots["node"], "left").selectExpr("token", "sig", "hub", "n", "coalesce(root, sig) as part")
     part = materialize(part, "parts")
     sizes = part.groupBy("token", "part").agg(F.count("*").alias("rows"))
     main = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("rows", "part")).alias("main")).where("parts > 1").select("token", "main")
     open_blocks = part.where("sig <> hub").join(main, "token")
-    x = open_blocks.where("part <> main").selectExpr("token", "sig as a", "part as part_a", "n as n_a", "at as at_a")
-    y = open_blocks.selectExpr("token", "sig as b", "part as part_b", "n as n_b", "at as at_b", "part <> main as small")
-    met = x.join(y, "token").where(
-        f"part_a <> part_b and (not small or a < b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-        f" and (100 + {percent}) * least(n_a - at_a, n_b - at_b) >= {percent} * (n_a + n_b)"
-    )
+    x = open_blocks.where("part <> main").selectExpr("token", "sig as a", "part as part_a", "n as n_a")
+    y = open_blocks.selectExpr("token", "sig as b", "part as part_b", "n as n_b", "part <> main as small")
+    met = x.join(y, "token").where(f"part_a <> part_b and (not small or a < b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     more = _links(met.select("a", "b").distinct(), classes, texts, size, percent)
     roots = materialize(components(links.unionByName(more)), "roots")
 

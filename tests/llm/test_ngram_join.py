@@ -87,3 +87,31 @@ def test_only_texts_of_pairs_are_exchanged(spark):
     assert {7, 64, 128, 2999} <= picked and len(picked) < 50
     assert {7, 64, 128, 2999} <= {r.doc_id for r in nj._texts_of(near, texts, 64).collect()}
     assert nj._texts_of(near.where("a > 0"), texts).count() == 0
+
+
+def test_sets_that_reach_the_threshold_share_a_key():
+    rng = np.random.default_rng(5)
+    for percent in (50, 60, 80, 85, 93, 100):
+        for _ in range(150):
+            n = int(rng.choice([1, 2, 3, 5, 8, 9, 26, 27, 60, 81, 250]))
+            union = rng.integers(0, 2**64, n, dtype=np.uint64)
+            most = n * (100 - percent) // 100  # shingles that one of the two has not
+            left = rng.permutation(n)[:most]
+            cut = int(rng.integers(0, most + 1))
+            sets = [np.sort(np.delete(union, left[:cut])), np.sort(np.delete(union, left[cut:]))]
+            late = dict(zip(union.tolist(), (rng.integers(1, 9, n) * (rng.random(n) < rng.choice([0, 0.3, 0.9, 1]))).tolist(), strict=True))
+            keys = [set(nj.block_keys(np.zeros(len(v), np.int64), v, np.array([0, len(v)]), np.array([late[x] for x in v.tolist()], np.int64), percent)[0].tolist()) for v in sets]
+            assert keys[0] & keys[1], (percent, n)
+
+
+def test_texts_that_share_a_passage_make_few_candidates(spark, monkeypatch):
+    """A tenth of each text is the same passage: no pair is near, and few may be compared."""
+    made = []
+    links = nj._links
+    monkeypatch.setattr(nj, "_links", lambda pairs, *a: made.append(pairs.count()) or links(pairs, *a))
+    passage = filler(30, 77)
+    # Few in a thousand, so that no shingle of the passage counts as frequent.
+    rows = [(i, (passage + " " if i < 60 else "") + filler(270, 5000 + i, tuple(f"w{i}x{k}" for k in range(10)))) for i in range(62)]
+    monkeypatch.setattr(nj, "FREQUENT", 0)
+    assert {c for _, _, c in got(spark, rows)} == set(range(62))
+    assert sum(made) < 62 * 61 // 20, made
