@@ -15,9 +15,15 @@ that cannot reach the threshold are discarded from bounds on the sizes of the tw
 3. Each block first holds every class against its hub, the class with the fewest rare shingles: as
    many candidates as rows. A pair goes on while the sizes, and then bit sketches of the two sets, leave room for the
    overlap that the threshold asks for; then the overlap of the whole sets is counted.
-4. Classes that are linked are contracted to components. Only blocks in which several components
-   still meet are multiplied out, between rows of different components and leaving out the pairs
-   within the component that fills most of the block; what survives the bounds is counted as in 3.
+4. Classes that are linked are contracted to components. A block in which few rows are outside the
+   component that fills most of it is multiplied out, between rows of different components: at most
+   WIDE times as many pairs as rows. What survives the bounds is counted as in 3.
+5. A block with more such rows is cut by what its rows have besides a set h: its hub and the frequent
+   shingles. If x and y have a shingle in common that h has not, then as many as the threshold asks for
+   beyond |x & h| and |y & h|, so one of the first ones of x - h and y - h in a common order. If not, |x & y| is at most |x & h| and |y & h|,
+   which bounds the sizes that y and x can have. These shingles and these sizes are the columns of new
+   blocks (those of two sizes have two sides). Of the blocks of each hub either the new ones or the old
+   ones are multiplied out, whichever makes fewer pairs.
 
 Pairs within a component change nothing, so large groups of near copies never make all their pairs,
 while no link between components is lost.
@@ -30,6 +36,7 @@ with nothing and have a null component_id; repeated rows are copies of each othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +60,10 @@ FILTER_BITS = 1 << 24
 LEVELS = 3 ** np.arange(34, dtype=np.int64)
 #: Pairs of texts that a task holds the sets of.
 PAIRS = 400
+#: Rows outside its largest component from which on a block is cut and not multiplied out.
+WIDE = 16
+#: Sizes at which bands of sizes begin, 256 in each power of two.
+BANDS = np.unique(np.ceil(2 ** (np.arange(256 * 40) / 256)).astype(np.int64))
 
 
 def shingle_sets(words: tx.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,25 +196,35 @@ def block_keys(row: np.ndarray, value: np.ndarray, first: np.ndarray, late: np.n
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def lateness(value: np.ndarray, frequent) -> np.ndarray:
+    """Of each shingle 0, or its place among the frequent ones, the most frequent last."""
+    known, rank = frequent.value
+    if not len(known):
+        return np.zeros(len(value), np.int64)
+    at = np.searchsorted(known, value)
+    at[at == len(known)] = 0
+    return np.where(known[at] == value, rank[at] + 1, 0)
+
+
+def hub_order(own: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Orders sets by how many of their shingles are not frequent, then by hash: the smallest of a block
+    is the set with least of its own, to which most others of the block are near."""
+    return (np.minimum(own, (1 << 22) - 1).astype(np.uint64) << np.uint64(40)) | (sig >> np.uint64(24))
+
+
 def _blocks(size: int, percent: int, frequent):
-    """(token, sig, n, rare): the keys of each set. `rare` orders sets by how many of their shingles are
-    not frequent, then by hash: the smallest of a block is the set with least of its own, to which most
-    others of the block are near."""
+    """(token, sig, n, rare): the keys of each set, and its place in the order of hubs."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = frequent.value
         for batch in batches:
-            for _, _, words in tx.batches_of_words(batch.column(0), tx.SPACES, lower=True):
+            for _, _, words in tx.batches_of_words(batch.column(0), tx.SPACES, lower=True, limit=tx.SMALL_CHUNK):
                 row, value, first = shingle_sets(words, size)
                 if not len(row):
                     continue
-                at = np.searchsorted(known, value)
-                at[at == len(known)] = 0
-                late = np.where(known[at] == value, rank[at] + 1, 0) if len(known) else np.zeros(len(value), np.int64)
+                late = lateness(value, frequent)
                 n = np.diff(first)
                 sig = signatures(value, first)
-                own = np.minimum(np.bincount(row[late == 0], minlength=len(n)), (1 << 22) - 1).astype(np.uint64)
-                rare = (own << np.uint64(40)) | (sig >> np.uint64(24))
+                rare = hub_order(np.bincount(row[late == 0], minlength=len(n)), sig)
                 key, on = block_keys(row, value, first, late, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key)), pa.array(tx.signed(sig[on])), pa.array(n[on]), pa.array(tx.signed(rare[on]))], names=["token", "sig", "n", "rare"])
 
@@ -226,29 +247,70 @@ def _discard(percent: int):
     return scan
 
 
+def _pairs_of_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """Bounded parts of rows (a, b, text_a, text_b), and (row, set, set) of those whose texts are of a and b."""
+    for batch in (b.slice(lo, PAIRS) for b in batches for lo in range(0, b.num_rows, PAIRS)):
+        both = [], []
+        for column, out in zip(("text_a", "text_b"), both, strict=True):
+            for lo, hi, words in tx.batches_of_words(batch.column(column), tx.SPACES, lower=True, limit=tx.SMALL_CHUNK):
+                _, value, first = shingle_sets(words, size)
+                sig = tx.signed(signatures(value, first))
+                out += [(value[first[i] : first[i + 1]], sig[i]) for i in range(hi - lo)]
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        yield batch, [(i, x, y) for i, ((x, sx), (y, sy)) in enumerate(zip(*both, strict=True)) if sx == a[i] and sy == b[i]]
+
+
 def _count(size: int, percent: int):
     """Counts the overlap of the whole sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(lo, PAIRS) for b in batches for lo in range(0, b.num_rows, PAIRS)):
-            both = [], []
-            for column, out in zip(("text_a", "text_b"), both, strict=True):
-                for lo, hi, words in tx.batches_of_words(batch.column(column), tx.SPACES, lower=True):
-                    _, value, first = shingle_sets(words, size)
-                    sig = tx.signed(signatures(value, first))
-                    out += [(value[first[i] : first[i + 1]], sig[i]) for i in range(hi - lo)]
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        for batch, sets in _pairs_of_sets(batches, size):
             linked = []
-            for i, ((x, sx), (y, sy)) in enumerate(zip(*both, strict=True)):
-                if sx == a[i] and sy == b[i]:
-                    overlap = len(x) + len(y) - len(np.union1d(x, y))
-                    if 100 * overlap >= percent * (len(x) + len(y) - overlap):
-                        linked.append(i)
+            for i, x, y in sets:
+                overlap = len(x) + len(y) - len(np.union1d(x, y))
+                if 100 * overlap >= percent * (len(x) + len(y) - overlap):
+                    linked.append(i)
             yield batch.select(["a", "b"]).take(pa.array(linked, pa.int64()))
 
     return scan
 
 
+def besides(hub: np.ndarray, x: np.ndarray, late: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, pairs of bands, sides) of which two sets of a block that reach the threshold have a shingle
+    or a pair in common, whatever the hub and the frequent shingles (those with `late` > 0) are: the first of the
+    shingles that x has besides these, and the bands of sizes of x and of sets that reach the threshold with
+    x without any of them. The sets of a pair are on sides 1 and 2, and both on 0 if they are of one band."""
+    extra = x[~np.isin(x, hub, assume_unique=True) & (late == 0)]
+    n, common = len(x), len(x) - len(extra)
+    least = -(-percent * n // 100)
+    need = max(1, -(-percent * (n + least) // (100 + percent)) - common)
+    most = min(100 * n // percent, (100 + percent) * common // percent - n)
+    band, low, high = np.searchsorted(BANDS, (n, least, most), "right").tolist()
+    other = np.arange(low, high + 1 if least <= most else low)
+    pairs = np.minimum(other, band) * len(BANDS) + np.maximum(other, band)
+    return extra[: len(extra) - need + 1], pairs.astype(np.uint64), (other > band) + 2 * (other < band)
+
+
+def _cut(size: int, percent: int, frequent):
+    """(token, sig, n, rare, side, origin): the keys that the rows (a, b) of wide blocks, of hub a, have besides the hub."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _pairs_of_sets(batches, size):
+            hubs, sigs = (np.asarray(batch.column(c)).view(np.uint64) for c in ("a", "b"))
+            for i, hub, x in sets:
+                late = lateness(x, frequent)
+                shingles, bands, sides = besides(hub, x, late, percent)
+                with np.errstate(over="ignore"):
+                    salt = tx.mix(hubs[i : i + 1])
+                    key = np.concatenate((tx.mix(shingles ^ salt), tx.mix(salt + bands)))
+                if len(key):
+                    rare = hub_order(np.array([(late == 0).sum()]), sigs[i : i + 1])
+                    side = np.concatenate((np.zeros(len(shingles), np.int64), sides))
+                    yield pa.RecordBatch.from_arrays([pa.array(tx.signed(c)) for c in (key, np.full(len(key), sigs[i]), np.full(len(key), len(x)), np.full(len(key), rare[0]), side, np.full(len(key), hubs[i]))], names=["token", "sig", "n", "rare", "side", "origin"])
+
+    return scan
+
+
 def _texts_of(near: DataFrame, texts: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The texts of pairs, found by a bit filter of their documents, so that the others are not exchanged.
     A full filter lets all through and changes no result."""
@@ -266,10 +328,50 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, pe
     b = classes.selectExpr("sig as b", "n as n_b", "doc as doc_b", "bits as bits_b")
     near = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     near = materialize(near.mapInArrow(tx.released(_discard(percent)), "a long, b long, doc_a long, doc_b long"), "near")
+    return materialize(_with_texts(near, texts).mapInArrow(tx.released(_count(size, percent)), "a long, b long"), "links")
+
+
+def _with_texts(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, text_a, text_b) of pairs and their documents."""
     texts = _texts_of(near, texts)
     with_a = near.join(texts.withColumnRenamed("text", "text_a"), near["doc_a"] == texts["doc_id"]).drop("doc_id")
-    both = with_a.join(texts.withColumnRenamed("text", "text_b"), with_a["doc_b"] == texts["doc_id"]).select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInArrow(tx.released(_count(size, percent)), "a long, b long"), "links")
+    return with_a.join(texts.withColumnRenamed("text", "text_b"), with_a["doc_b"] == texts["doc_id"]).select("a", "b", "text_a", "text_b")
+
+
+TOKENS = "token long, sig long, n long, rare long"
+
+
+def _meeting(tokens: DataFrame) -> DataFrame:
+    """(token, sig, n, hub) of the keys in which two classes meet."""
+    shared = tokens.groupBy("token").agg(F.min_by("sig", "rare").alias("hub"), F.min("sig").alias("low"), F.max("sig").alias("top")).where("low < top").select("token", "hub")
+    # Written first: Spark splits hot keys of a join between two exchanges, not of one on top of a sum.
+    shared = materialize(shared, "shared")
+    return materialize(tokens.drop("rare").join(shared, "token").distinct(), "blocks")
+
+
+def _open(blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of blocks in which several components meet: their component, the block's largest one, and
+    whether more than WIDE rows are outside that."""
+    part = blocks.join(roots, blocks["sig"] == roots["node"], "left").selectExpr("token", "sig", "hub", "n", "side", "origin", "coalesce(root, sig) as part")
+    part = materialize(part, "parts")
+    sizes = part.groupBy("token", "part").agg(F.count("*").alias("rows"), F.max("side").alias("side"))
+    main = sizes.groupBy("token").agg(F.sum("rows").alias("all"), F.max("rows").alias("most"), F.max("side").alias("side"), F.max_by("part", F.struct("rows", "part")).alias("main")).where("all > most")
+    return materialize(part.join(main.selectExpr("token", "main", f"all - most > {WIDE} and side = 0 as wide"), "token"), "open")
+
+
+def _work(rows: DataFrame) -> DataFrame:
+    """(origin, pairs): how many pairs the blocks of an origin make when they are multiplied out."""
+    sums = [F.expr(f"sum(if(side = {k}, 1L, 0L)) as all_{k}") for k in range(3)] + [F.expr(f"sum(if(side = {k} and part <> main, 1L, 0L)) as out_{k}") for k in range(3)]
+    blocks = rows.groupBy("token", "origin").agg(*sums)
+    return blocks.groupBy("origin").agg(F.expr("sum(out_0 * all_0 + out_1 * all_2 + out_2 * all_1) as pairs"))
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of rows of a block that are of different components, and of different sides if it has sides."""
+    x = rows.where("part <> main").selectExpr("token", "if(side = 0, 0, 3 - side) as side", "sig as a", "part as part_a", "n as n_a")
+    y = rows.selectExpr("token", "side", "sig as b", "part as part_b", "n as n_b", "part <> main as small")
+    met = x.join(y, ["token", "side"]).where(f"part_a <> part_b and (not small or a < b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return met.select("a", "b").distinct()
 
 
 def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -290,26 +392,24 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     real = measured.where("doc_id is not null and n > 0")
     classes = materialize(real.groupBy("sig", "n").agg(F.min("doc_id").alias("doc"), F.first("bits").alias("bits")), "classes")
     texts = docs.where("doc_id is not null and text is not null")
-    tokens = texts.select("text").mapInArrow(tx.released(_blocks(size, percent, frequent)), "token long, sig long, n long, rare long")
-    shared = tokens.groupBy("token").agg(F.min_by("sig", "rare").alias("hub"), F.min("sig").alias("low"), F.max("sig").alias("top")).where("low < top").select("token", "hub")
-    # Written first: Spark splits hot keys of a join between two exchanges, not of one on top of a sum.
-    shared = materialize(shared, "shared")
-    blocks = materialize(tokens.drop("rare").join(shared, "token").distinct(), "blocks")
-
+    blocks = _meeting(texts.select("text").mapInArrow(tx.released(_blocks(size, percent, frequent)), TOKENS))
     pairs = blocks.where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()
     links = _links(pairs, classes, texts, size, percent)
-    roots = components(links)
+    roots = materialize(components(links), "roots")
 
     # Blocks in which several components still meet.
-    part = blocks.join(roots, blocks["sig"] == roots["node"], "left").selectExpr("token", "sig", "hub", "n", "coalesce(root, sig) as part")
-    part = materialize(part, "parts")
-    sizes = part.groupBy("token", "part").agg(F.count("*").alias("rows"))
-    main = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("rows", "part")).alias("main")).where("parts > 1").select("token", "main")
-    open_blocks = part.where("sig <> hub").join(main, "token")
-    x = open_blocks.where("part <> main").selectExpr("token", "sig as a", "part as part_a", "n as n_a")
-    y = open_blocks.selectExpr("token", "sig as b", "part as part_b", "n as n_b", "part <> main as small")
-    met = x.join(y, "token").where(f"part_a <> part_b and (not small or a < b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    more = _links(met.select("a", "b").distinct(), classes, texts, size, percent)
+    rows = _open(blocks.selectExpr("*", "0L as side", "hub as origin"), roots).where("sig <> hub")
+    met = [_across(rows.where("not wide"), percent)]
+    wide = rows.where("wide")
+    if not wide.isEmpty():
+        docs_of = classes.select("sig", "doc")
+        near = wide.select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct().join(docs_of.toDF("a", "doc_a"), "a").join(docs_of.toDF("b", "doc_b"), "b")
+        tokens = _with_texts(materialize(near, "wide"), texts).mapInArrow(tx.released(_cut(size, percent, frequent)), f"{TOKENS}, side long, origin long")
+        cuts = _open(_meeting(materialize(tokens, "cuts")), roots)
+        less = _work(wide).join(_work(cuts).withColumnRenamed("pairs", "left"), "origin", "left").where("coalesce(left, 0) < pairs").select("origin")
+        less = materialize(less, "less")
+        met += [_across(cuts.join(less, "origin", "left_semi"), percent), _across(wide.join(less, "origin", "left_anti"), percent)]
+    more = _links(reduce(DataFrame.unionByName, met).distinct(), classes, texts, size, percent)
     roots = materialize(components(links.unionByName(more)), "roots")
 
     named = classes.join(roots, classes["sig"] == roots["node"], "left").selectExpr("sig", "n", "doc", "coalesce(root, sig) as root")

@@ -115,3 +115,56 @@ def test_texts_that_share_a_passage_make_few_candidates(spark, monkeypatch):
     monkeypatch.setattr(nj, "FREQUENT", 0)
     assert {c for _, _, c in got(spark, rows)} == set(range(62))
     assert sum(made) < 62 * 61 // 20, made
+
+
+def test_sets_besides_their_hub_share_a_key():
+    """Whatever the hub and the frequent shingles are: sets that reach the threshold meet, those of two bands on two sides."""
+    rng = np.random.default_rng(6)
+    near = 0
+    for percent in (50, 80, 85, 93, 100):
+        for _ in range(400):
+            base = np.unique(rng.integers(0, 2**64, int(rng.choice([3, 9, 40, 150, 600])), dtype=np.uint64))
+            extra = rng.integers(0, 2**64, len(base) // 4 + 2, dtype=np.uint64)
+            take = lambda share, p: np.unique(np.concatenate((base[rng.random(len(base)) < share], extra[rng.random(len(extra)) < p])))
+            lost = rng.choice([0, 0.03, 0.1])
+            x, y, hub = take(1 - lost, 0.2), take(1 - lost, 0.2), take(rng.choice([0.1, 0.8, 1]), rng.choice([0, 0.3]))
+            often = set(base[rng.random(len(base)) < rng.choice([0, 0.5])].tolist())
+            both = len(np.intersect1d(x, y))
+            if not len(x) or not len(y) or 100 * both < percent * (len(x) + len(y) - both):
+                continue
+            near += 1
+            keys = []
+            for v in (x, y):
+                shingles, pairs, sides = nj.besides(hub, v, np.array([int(i in often) for i in v.tolist()], np.int64), percent)
+                keys.append((set(shingles.tolist()), dict(zip(pairs.tolist(), sides.tolist(), strict=True))))
+            (a, p), (b, q) = keys
+            assert a & b or any((p[k], q[k]) in ((0, 0), (1, 2), (2, 1)) for k in p.keys() & q.keys()), (percent, len(x), len(y))
+    assert near > 300
+
+
+def test_a_large_group_of_near_copies_makes_few_candidates(spark, monkeypatch):
+    """Some copies of one text are too far from it, and from each other, to link: they meet by few pairs, not by all."""
+    made = []
+    links = nj._links
+    monkeypatch.setattr(nj, "_links", lambda pairs, *a: made.append(pairs.count()) or links(pairs, *a))
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.choice([1, 2, 3, 4])):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    want = brute(rows)
+    assert 60 < len({c for _, _, c in want}) < 160
+    assert got(spark, rows) == want
+    # 20,424 when blocks were multiplied out whatever their size.
+    assert sum(made) < 16 * len(rows), made
+
+
+def test_wide_blocks_as_brute_force(spark, monkeypatch):
+    rows = near_copies()
+    want = brute(rows)
+    for wide in (0, 3):
+        monkeypatch.setattr(nj, "WIDE", wide)
+        assert got(spark, rows) == want
