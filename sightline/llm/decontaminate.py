@@ -118,7 +118,7 @@ def _candidates(known, sizes: list[int], window: int, gram: int):
             return np.flatnonzero((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
 
         for batch in batches:
-            for lo, hi, words in tx.batches_of_words(batch.column(1), tx.NOT_ALNUM, lower=True):
+            for lo, hi, words in tx.batches_of_words(batch.column(1), tx.NOT_ALNUM, lower=True, limit=tx.SMALL_CHUNK):
                 h, row = words.hashes(), words.row
                 for n in sizes:
                     if n == window:
@@ -182,7 +182,7 @@ def _cut(text_at: int, spans_at: int, window: int, names: list[str]):
             if not batch.num_rows:
                 continue
             texts, spans = [], batch.column(spans_at).to_pylist()
-            for lo, hi, words in tx.batches_of_words(batch.column(text_at), tx.NOT_ALNUM, lower=True):
+            for lo, hi, words in tx.batches_of_words(batch.column(text_at), tx.NOT_ALNUM, lower=True, limit=tx.SMALL_CHUNK):
                 gone = np.zeros(len(words.starts), bool)
                 for r in range(lo, hi):
                     for span in spans[r] or ():

@@ -96,3 +96,18 @@ def test_clashing_names(spark):
     done = decontaminate(docs, table(spark, ITEMS), excise=True)
     assert {"__digest", "__spans", "__FOUND_digest", "win", "at"} <= set(done.columns)
     assert got(done) == brute(rows(), ITEMS, 8)
+
+
+def test_texts_are_worked_on_in_small_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from sightline.llm import decontaminate as dc
+    from sightline.llm import text as tx
+
+    parts, chunks = [], tx.chunks
+    monkeypatch.setattr(tx, "chunks", lambda offsets, limit: parts.extend(chunks(offsets, limit)) or chunks(offsets, limit))
+    known = type("Known", (), {"value": np.zeros(1 << 10, np.uint64)})
+    batch = pa.RecordBatch.from_pydict({"digest": ["a", "b", "c"], "text": ["one two " * 40_000] * 3})
+    list(dc._candidates(known, [8], 8, 4)(iter([batch])))
+    assert parts == [(0, 1), (1, 2), (2, 3)]
