@@ -53,6 +53,8 @@ SENTENCE = 12
 TRIPLES = [(0, j, k) for k in range(2, SPAN) for j in range(1, k)]
 #: Characters read as letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+#: Rows of vectors that training works on at a time beside the matrix it solves.
+BLOCK = 4096
 #: Where values end that a text's logistic function is given.
 LEAST, MOST, MANY = -3.0, 2.0, 50
 
@@ -186,6 +188,10 @@ class Landmarks:
             np.add.at(out, word, total / np.float32(scale))
         return out
 
+    def vectors(self, words: list[bytes]) -> np.ndarray:
+        """The words' coordinates."""
+        return self.kernel(*packed(words)) @ self.fold
+
     def weights(self, w: np.ndarray) -> np.ndarray:
         """A linear machine over the coordinates as one weight for each subsequence."""
         out = np.zeros(SYMBOLS**3, np.float32)
@@ -243,10 +249,15 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, ro
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(rounds):
-        on = y * (x @ w.astype(x.dtype)) < 1
-        own = x[on] * np.sqrt(cost * weight[on])[:, None].astype(x.dtype)
-        h = ridge + (own.T @ own).astype(np.float64)
-        new = np.linalg.solve(h, own.T @ (y[on] * np.sqrt(cost * weight[on])).astype(x.dtype))
+        on = np.flatnonzero(y * (x @ w.astype(x.dtype)) < 1)
+        h, to = ridge.copy(), np.zeros(len(w))
+        for lo in range(0, len(on), BLOCK):
+            some = on[lo : lo + BLOCK]
+            scale = np.sqrt(cost * weight[some])
+            own = x[some] * scale[:, None].astype(x.dtype)
+            h += own.T @ own
+            to += own.T @ (y[some] * scale).astype(x.dtype)
+        new = np.linalg.solve(h, to)
         if np.abs(new - w).max() < 1e-4 * max(1.0, np.abs(new).max()):
             w = new
             break
@@ -286,11 +297,26 @@ def telling_words(names: list[bytes], n1: np.ndarray, n0: np.ndarray) -> np.ndar
     return out
 
 
-def summed(z: np.ndarray, used: np.ndarray, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The sum of the vectors of each sentence's words; z has those of the words `used`, in order."""
+def sentence_vectors(marks: Landmarks, names: list[bytes], flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, more: int) -> np.ndarray:
+    """The sum of the vectors of each sentence's words, then `more` rows to be filled; the last column is 1.
+    Words are taken a block at a time, so that no more of their vectors are held."""
+    x = np.zeros((len(sizes) + more, marks.fold.shape[1] + 1), np.float32)
+    x[:, -1] = 1
     first = np.cumsum(sizes) - sizes
-    words = flat[np.repeat(begin - first, sizes) + np.arange(sizes.sum())]
-    return np.add.reduceat(z[np.searchsorted(used, words)], first, axis=0)
+    used, word = np.unique(flat[np.repeat(begin - first, sizes) + np.arange(sizes.sum())], return_inverse=True)
+    sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    order = np.argsort(word // BLOCK, kind="stable")
+    word, sentence = word[order].astype(np.int32), sentence[order]
+    ends = np.searchsorted(word // BLOCK, np.arange(-(-len(used) // BLOCK)), "right")
+    lo = 0
+    for block, end in enumerate(ends):
+        z = marks.vectors([names[i] for i in used[block * BLOCK : (block + 1) * BLOCK]])
+        for a in range(lo, end, BLOCK):
+            own = sentence[a : min(a + BLOCK, end)]
+            head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            x[own[head], :-1] += np.add.reduceat(z[word[a : a + len(own)] - block * BLOCK], head, axis=0)
+        lo = end
+    return x
 
 
 class Model:
@@ -314,7 +340,7 @@ class Model:
     def _train(self, texts: list[str], toxic: np.ndarray, landmarks: int) -> bool:
         # Words by their symbols, so the same however they are spelt; sentences as runs of them.
         spell: dict[bytes, int] = {}
-        ids, heads, owners, n = [], [], [], 0
+        ids, heads, owners, keys, n = [], [], [], [], 0
         for lo, _, words in tx.batches_of_words(pa.array(texts, pa.string()), tx.SPACES, False):
             _, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
             symbols, offsets = word_symbols(words, where)
@@ -322,16 +348,18 @@ class Model:
             known = np.array([spell.setdefault(raw[a:b], len(spell)) for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
             head = sentences(words)
             ids.append(known[back].astype(np.int32))
+            keys.append(tx.spans(tx.mix(known[back].astype(np.uint64) + np.uint64(1)), head, np.append(head, len(back))[1:]))
             heads.append(head + n)
             owners.append(lo + words.row[head])
             n += len(back)
         if not n:
             return False
-        flat, begin, owner = np.concatenate(ids), np.concatenate(heads), np.concatenate(owners)
+        flat, begin, owner, key = np.concatenate(ids), np.concatenate(heads), np.concatenate(owners), np.concatenate(keys)
+        del ids, heads, owners, keys
+        tx.release()
         end = np.append(begin, n)[1:]
         y = toxic[owner] > 0
         # Copies of a sentence count once, for class 0 if any stands in a text of it.
-        key = tx.spans(tx.mix(flat.astype(np.uint64) + np.uint64(1)), begin, end)
         order = np.lexsort((begin, y, key))
         first = order[np.concatenate(([True], np.diff(key[order]) != 0))]
         first.sort()
@@ -345,8 +373,8 @@ class Model:
         flat, sizes = (pair % len(spell)).astype(np.int32), np.bincount(pair // len(spell), minlength=len(sizes))
         begin = np.cumsum(sizes) - sizes
         n1, n0 = (np.bincount((pair % len(spell))[y[pair // len(spell)] == c], minlength=len(spell)).astype(float) for c in (True, False))
-        del pair, order, key, ids
         names = list(spell)
+        del pair, order, key, first, end, owner, spell
         gain = telling_words(names, n1, n0)
         symbols, offsets = packed(names)
         telling = np.flatnonzero(gain > 0)
@@ -363,24 +391,19 @@ class Model:
         easy = negative if len(negative) <= EASY else np.sort(rng.choice(negative, EASY, replace=False))
         nearest = np.zeros(0, np.int64)
         for step in range(ROUNDS):
+            tx.release()  # the driver's JVM stands beside it
             marks = Landmarks([names[i] for i in chosen])
             rows = np.unique(np.concatenate((positive, easy, nearest)))
-            used = np.zeros(len(names), bool)
-            used[flat[np.repeat(begin[rows] - np.cumsum(sizes[rows]) + sizes[rows], sizes[rows]) + np.arange(sizes[rows].sum())]] = True
-            used = np.flatnonzero(used)
-            z = self._project(marks, names, used)
             chosen_word, bent = self._bent(names, flat, begin, sizes, positive, gain, rng)
-            x = np.ones((len(rows) + len(bent), z.shape[1] + 1), np.float32)
-            for lo in range(0, len(rows), 4000):
-                own = rows[lo : lo + 4000]
-                x[lo : lo + len(own), :-1] = summed(z, used, flat, begin[own], sizes[own])
-            if bent:
-                source = np.array([r for r, _ in chosen_word])
-                x[len(rows) :, :-1] = x[np.searchsorted(rows, source), :-1] - z[np.searchsorted(used, [w for _, w in chosen_word])] + self._project(marks, bent, np.arange(len(bent)))
-            del z
+            x = sentence_vectors(marks, names, flat, begin[rows], sizes[rows], len(bent))
+            for lo in range(0, len(bent), BLOCK):
+                own = chosen_word[lo : lo + BLOCK]
+                taken = marks.vectors(bent[lo : lo + BLOCK]) - marks.vectors([names[w] for _, w in own])
+                x[len(rows) + lo : len(rows) + lo + len(own), :-1] = x[np.searchsorted(rows, [r for r, _ in own]), :-1] + taken
             target = np.concatenate((np.where(y[rows], 1.0, -1.0), np.ones(len(bent))))
             w, self.bias = svm(x, target, np.where(target > 0, 1.0, max((target > 0).sum() / max((target < 0).sum(), 1), 0.25)))
             self.weights = marks.weights(w)
+            del marks, x
             worth = word_values(symbols, offsets, self.weights)
             of_sentence = np.add.reduceat(worth[flat], begin) + self.bias
             if step + 1 < ROUNDS:
@@ -392,13 +415,6 @@ class Model:
                 chosen = np.union1d(chosen, hard[np.isfinite(wrong[hard])])
         return True
 
-    @staticmethod
-    def _project(marks: Landmarks, names: list[bytes], which: np.ndarray) -> np.ndarray:
-        out = []
-        for lo in range(0, len(which), 20_000):
-            out.append(marks.kernel(*packed([names[i] for i in which[lo : lo + 20_000]])) @ marks.fold)
-        return np.vstack(out) if out else np.zeros((0, marks.fold.shape[1]), np.float32)
-
     @staticmethod
     def _bent(names, flat, begin, sizes, positive, gain, rng) -> tuple[list[tuple[int, int]], list[bytes]]:
         """(sentence, its most telling word) of positive sentences, and that word with a letter put in."""
@@ -416,7 +432,7 @@ class Model:
     def measure(self, column: pa.Array) -> np.ndarray:
         """(highest sentence, highest word, log of words over the margin) of each text."""
         out = []
-        for lo, hi, words in tx.batches_of_words(column, tx.SPACES, lower=False):
+        for lo, hi, words in tx.batches_of_words(column, tx.SPACES, False, tx.SMALL_CHUNK):
             h = words.hashes()
             _, where, back = np.unique(h, return_index=True, return_inverse=True)
             symbols, offsets = word_symbols(words, where)
@@ -469,5 +485,6 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame) -> D
     A column of `docs` named score is replaced."""
     docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
     model = docs.sparkSession.sparkContext.broadcast(fit(training, labels))
+    tx.release()
     schema = extended(docs.schema, "score double")
     return docs.mapInArrow(tx.released(_score(model, docs.columns.index("text"), schema.names)), schema)

@@ -1,12 +1,14 @@
 """The subsequence kernel against plain counting, and held-out texts in several scripts."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from sightline.llm import toxicity
 from sightline.llm.toxicity import DECAY, SPAN, START, Landmarks, Model, encode, features, packed, score_toxicity, word_symbols, word_values
 
 from .cases import empty_table, filler, odd_rows, odd_table
@@ -130,3 +132,47 @@ def test_conflicting_and_repeated_labels_are_settled(spark):
     clash = once + [(i, 0) for i in range(0, 50, 5)] + once[:20]
     want, got = ({r.doc_id: r.score for r in score_toxicity(docs, docs, spark.createDataFrame(rows, "doc_id long, toxic int").repartition(n)).collect()} for rows, n in ((once, 1), (clash, 5)))
     assert want == got
+
+
+def test_training_holds_few_vectors_beside_its_matrix(monkeypatch):
+    rng = random.Random(3)
+    sounds = [a + b for a in "bcdfghklmnprstvwz" for b in "aeiou"]
+    names = ["".join(rng.choices(sounds, k=rng.randint(3, 5))) for _ in range(30_000)]
+    insults = ["x" + "".join(rng.choices(sounds, k=4)) for _ in range(20)]
+    texts = [". ".join(" ".join(rng.choices(names, k=7)) for _ in range(8)) + (" you " + rng.choice(insults) if i % 3 == 0 else "") for i in range(1500)]
+    solve, begin, matrix, before = toxicity.svm, Landmarks.__init__, [], []
+
+    def landmarks(self, words):
+        if not before:
+            before.append(tracemalloc.get_traced_memory()[0])
+            tracemalloc.reset_peak()
+        begin(self, words)
+
+    monkeypatch.setattr(Landmarks, "__init__", landmarks)
+    monkeypatch.setattr(toxicity, "svm", lambda x, *rest: (matrix.append(x.nbytes), solve(x, *rest))[1])
+    tracemalloc.start()
+    try:
+        assert Model(texts, [int(i % 3 == 0) for i in range(1500)]).weights is not None
+        peak = tracemalloc.get_traced_memory()[1] - before[0]
+    finally:
+        tracemalloc.stop()
+    assert len(matrix) == 4 and max(matrix) < 10e6
+    assert peak < 50e6  # 38 MB; 68 when the vectors of all words were held
+
+
+def test_blocks_of_training_have_no_say(monkeypatch):
+    texts = [said(60, i, i % 5 == 0) for i in range(300)]
+    toxic = [int(i % 5 == 0) for i in range(300)]
+    whole = Model(texts, toxic)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    cut = Model(texts, toxic)
+    assert np.allclose(whole.score(pa.array(texts)), cut.score(pa.array(texts)), atol=1e-3)
+    # Sums of words' vectors, of words that stand in many blocks and of one-word sentences.
+    names = [bytes(encode([w])[0]) for w in filler(200, 1).split()[:60]]
+    marks = Landmarks(names[:20])
+    flat = np.concatenate([np.arange(60), [5], np.arange(0, 60, 9)]).astype(np.int32)
+    begin, sizes = np.array([0, 60, 61]), np.array([60, 1, 7])
+    got = toxicity.sentence_vectors(marks, names, flat, begin, sizes, 2)
+    want = [marks.vectors([names[i] for i in flat[a : a + n]]).sum(0) for a, n in zip(begin, sizes)]
+    assert got.shape == (5, len(want[0]) + 1) and np.allclose(got[:3, :-1], want, atol=1e-3)
+    assert (got[:, -1] == 1).all() and not got[3:, :-1].any()
