@@ -300,11 +300,7 @@ def percentile_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seeded_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NumPy's generator has no SQL form; tests hold it against a plain loop. Every slice, threshold
     and replicate, as in the evaluation report."""
-    images = v.images(spark, sf_dir)
-    facts = ma.match_facts(_matched(spark, sf_dir), ["severity"])
-    counts = ma.gt_counts(v.gt_boxes(spark, sf_dir))
-    members = me.sliced(images.select("image_id").withColumn("area_range", F.explode(F.array(*map(F.lit, ma.RANGES)))), images).select("axis", "bucket", "image_id")
-    return bs.bootstrap_slices(me.sliced(facts, images), me.sliced(counts, images), members)
+    return bs.bootstrap_slices(_matched(spark, sf_dir), ma.gt_counts(v.gt_boxes(spark, sf_dir)), v.images(spark, sf_dir))
 
 
 # Reports and decisions, over metrics derived from the customers of each region.
